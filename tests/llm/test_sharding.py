@@ -1,0 +1,52 @@
+import random
+import zlib
+
+import numpy as np
+
+from tupelo.llm import sharding as s
+
+
+def corpus(n=3000):
+    r = random.Random(4)
+    rows = [(i, "word%d " % r.randrange(10**6) * r.randint(1, 60)) for i in range(n)]
+    rows += [(10_000 + i, "a copy of one text " * 5) for i in range(n // 2)]
+    rows += [(20_000 + i, "pair %d" % (i // 2)) for i in range(200)]
+    return rows + [(30_000, None), (30_001, None), (30_002, ""), (None, "x"), (None, "x"), (40_000, "same"), (40_000, "same")]
+
+
+def test_laws(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 as shard", "'b' as g1").repartition(4)
+    got = s.assign(df, shards=10).toPandas()
+    assert len(got) == len(rows)
+    assert sorted(got["size"]) == sorted(len((t or "").encode()) + 16 for _, t in rows)
+    crc = {i: zlib.crc32((t or "").encode()) for i, t in rows}
+    assert all(crc[None if np.isnan(i) else int(i)] == c for i, c in zip(got.doc_id, got.text_crc32))
+    per = got.groupby("shard").agg(b=("size", "sum"), t=("tokens", "sum"), r=("slot", "size"), top=("slot", "max"), u=("slot", "nunique"))
+    assert set(per.index) <= set(range(10))
+    assert (per.r == per.u).all() and (per.top + 1 == per.r).all()
+    assert per.b.max() / per.b.mean() < 1.03 and per.b.min() / per.b.mean() > 0.97
+    assert per.t.max() / per.t.mean() < 1.3
+    text = {i: t for i, t in rows}
+    got["text"] = [text[None if np.isnan(i) else int(i)] for i in got.doc_id]
+    spread = got[got.text != "a copy of one text " * 5].fillna({"text": "<null>"}).groupby("text").shard.nunique()
+    assert spread.max() == 1
+    again = s.assign(df.repartition(7), shards=10).toPandas()
+    key = ["doc_id", "text_crc32", "shard", "slot"]
+    assert got[key].sort_values(key, ignore_index=True).equals(again[key].sort_values(key, ignore_index=True))
+    out = s.sharded(df, shards=10)
+    assert out.columns == [*df.columns, "_shard", "slot"]
+    assert out.count() == len(rows)
+    assert out.select("_shard", "slot").distinct().count() == len(rows)
+
+
+def test_empty_and_single(spark):
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert [(r.shard, r.slot) for r in s.assign(df).collect()] == [(0, 0)]
+    assert s.assign(df.limit(0)).count() == 0
+    assert s.sharded(df.limit(0)).count() == 0
+
+
+def test_place_takes_highest_dot_product():
+    v = np.array([[4.0, 1, 1], [3, 1, 1], [3, 1, 1], [2, 1, 1]])
+    assert sorted(np.bincount(s.place(v, 2), v[:, 0]).tolist()) == [6, 6]

@@ -62,9 +62,9 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def free_name(df: DataFrame, stem: str) -> str:
-    """A column name that df doesn't have (names are compared as Spark does, ignoring case)."""
-    taken, name = {c.lower() for c in df.columns}, stem
+def free_name(df: DataFrame, stem: str, *more: str) -> str:
+    """A column name that neither df nor more has (names are compared as Spark does, ignoring case)."""
+    taken, name = {c.lower() for c in (*df.columns, *more)}, stem
     while name.lower() in taken:
         name = f"_{name}"
     return name

@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, language, quality_rules, simhash
+from . import decontaminate, language, quality_rules, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(_table(spark, sf_dir, "documents"), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -34,7 +40,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_decontaminate, op8_quality_rules, op9_language, op10_simhash)}
+    return {f.__name__: f for f in (op6_sharding, op7_decontaminate, op8_quality_rules, op9_language, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
