@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PACKAGE = __name__.split(".")[0]
@@ -70,5 +69,25 @@ def free_name(df: DataFrame, stem: str, *more: str) -> str:
     return name
 
 
-def python() -> str:
-    return f"{sys.version_info.major}.{sys.version_info.minor}"
+def text_keys(text: F.Column) -> dict[str, F.Column]:
+    """Two independent 64-bit hashes that stand for a text where it needn't travel (null: a text of its own)."""
+    return {"g1": F.xxhash64(text), "g2": F.xxhash64(F.lit(1), text, F.octet_length(text))}
+
+
+def paired(docs: DataFrame, found: DataFrame, doc_id: str, text: str, values: dict[str, str]) -> DataFrame:
+    """docs with columns of found, which has doc_id, g1 and g2 (see text_keys) and a row for each row of docs.
+
+    values: new column names (ones that docs doesn't have) by found's. Rows of one id and text are
+    interchangeable and get found's rows in order. The texts are shuffled once, for the join; the
+    numbering of such rows needs no other partitioning.
+    """
+    keys = [free_name(docs, f"_pair{k}", *values.values()) for k in ("i", "n", "g1", "g2")]
+    held, nth = free_name(docs, "_pairheld", *values.values()), free_name(docs, "_pairnth", *values.values())
+    id_keys = lambda c: (F.coalesce(c.cast("string"), F.lit("")), c.isNull())
+    plan = found.select(*[c.alias(k) for c, k in zip((*id_keys(F.col("doc_id")), F.col("g1"), F.col("g2")), keys, strict=True)], F.struct(*values).alias(held))
+    plan = plan.groupBy(*keys).agg(F.sort_array(F.collect_list(held)).alias(held))
+    own = (*id_keys(F.col(f"`{doc_id}`")), *text_keys(F.col(f"`{text}`")).values())
+    joined = docs.withColumns(dict(zip(keys, own, strict=True))).join(plan, keys)
+    joined = joined.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    got = F.element_at(F.col(held), F.col(nth))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *[got[k].alias(v) for k, v in values.items()])

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import free_name, own_columns, saved
+from ._common import free_name, own_columns, paired, saved, text_keys
 
 WORD = r"[^\x20\x09-\x0D]+"
 SIZES = ("size", "tokens", "rows")
@@ -48,8 +48,7 @@ def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", overhe
         (F.octet_length(t) + F.lit(overhead)).cast("long").alias("size"),
         F.regexp_count(t, F.lit(WORD)).cast("long").alias("tokens"),
         F.crc32(t).alias("text_crc32"),
-        F.xxhash64("text").alias("g1"),
-        F.xxhash64(F.lit(1), "text", F.octet_length("text")).alias("g2"),
+        *[c.alias(k) for k, c in text_keys(F.col("text")).items()],
     )
 
 
@@ -108,17 +107,7 @@ def numbered(found: DataFrame, shards: int, ranks: int) -> DataFrame:
 def sharded(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", **packing) -> DataFrame:
     """docs, all columns kept, with shard and slot (under other names if docs has these).
 
-    Rows with the same id and text are interchangeable: they are numbered on both sides and paired.
+    Rows with the same id and text are interchangeable.
     """
-    found = assign(docs, shards, doc_id, text, **packing)
-    twin = Window.partitionBy("doc_id", "g1", "g2").orderBy("shard", "slot")
-    found = found.withColumn("twin", F.row_number().over(twin)).select(F.col("doc_id").alias("_i"), F.col("g1").alias("_g1"), F.col("g2").alias("_g2"), F.col("twin").alias("_t"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    names = {c: free_name(docs, c) for c in found.columns}
-    found = found.toDF(*names.values())
-    t = F.col(f"`{text}`")
-    own = {k: free_name(docs, f"_own{k}", *found.columns) for k in ("i", "g1", "g2", "t")}
-    left = docs.withColumns({own["i"]: F.col(f"`{doc_id}`"), own["g1"]: F.xxhash64(t), own["g2"]: F.xxhash64(F.lit(1), t, F.octet_length(t))})
-    left = left.withColumn(own["t"], F.row_number().over(Window.partitionBy(own["i"], own["g1"], own["g2"]).orderBy(F.lit(0))))
-    on = left[own["i"]].eqNullSafe(found[names["_i"]]) & (left[own["g1"]] == found[names["_g1"]]) & (left[own["g2"]] == found[names["_g2"]]) & (left[own["t"]] == found[names["_t"]])
-    joined = left.join(found, on)
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(names["_shard"]).alias(free_name(docs, "shard")), F.col(names["_slot"]).alias(free_name(docs, "slot")))
+    names = {c: free_name(docs, c) for c in ("shard", "slot")}
+    return paired(docs, assign(docs, shards, doc_id, text, **packing), doc_id, text, names)
