@@ -109,7 +109,7 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     around = F.greatest(first + left - F.col("n"), F.lit(0))
     spans = F.array(cut(F.lit(0).cast("long"), F.least(around * block, F.col("end"))), cut(first * block, (first + left) * block))
     spans = F.filter(spans, lambda x: x["end"] > x["start"])
-    whole = F.when(F.col("n") > 0, F.floor(F.col("q") / F.greatest("n", F.lit(1)))).otherwise(0).cast("long")
+    whole = F.when(F.col("size") > 0, F.floor(F.col("q") / F.greatest("n", F.lit(1)))).otherwise(0).cast("long")
     extra = F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"])
     out = run.withColumns({"spans": spans, "whole": whole}).withColumn("taken", F.col("whole") * F.col("size") + extra)
     return out.select("doc_id", "g1", "g2", "source", "size", "source_size", "target", "taken", "whole", "spans")
