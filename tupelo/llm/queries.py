@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality_rules, sharding, simhash
+from . import decontaminate, language, mixing, quality_rules, sharding, simhash, token_orc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_orc.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.assign(_table(spark, sf_dir, "documents"), shards=40)
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"), "tokens")
@@ -44,7 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_mixing, op6_sharding, op7_decontaminate, op8_quality_rules, op9_language, op10_simhash)}
+    return {f.__name__: f for f in (op3_mixing, op5_token_orc, op6_sharding, op7_decontaminate, op8_quality_rules, op9_language, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -70,7 +70,6 @@ class Encoder:
 
     def _learn(self) -> None:
         if self.known.new:
-            # One string with a line break between runs costs less than a call for each run.
             found = self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in self.known.new], add_special_tokens=False)
             ids = [x.ids for x in found]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
