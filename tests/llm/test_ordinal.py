@@ -1,0 +1,55 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+
+from tupelo.llm import ordinal as o
+from tupelo.llm.textvec import pieces
+
+
+def test_features_count_words_and_tails():
+    t = next(pieces(pa.array(["Abcd abcd xbcd", None, "z"])))[2]
+    bucket, value, before = o.features(t, 1 << 40)
+    assert before.tolist() == [0, 3, 3, 5]
+    assert sorted(value[:3].tolist()) == [1.0, np.log2(3), 2.0]  # xbcd once, abcd twice, bcd three times
+    assert len(set(bucket.tolist())) == 5
+
+
+def test_gradient_finds_ordered_thresholds_and_shared_weights():
+    r = np.random.default_rng(0)
+    n = 3000
+    x = r.integers(0, 2, (n, 3))
+    z = x @ np.array([2.0, -3.0, 0.0]) + r.logistic(size=n)
+    y = (z > -1).astype(int) + (z > 1)
+    of, bucket = np.nonzero(x)
+    w, cuts = o.fit(bucket, np.ones(len(of)), np.searchsorted(of, np.arange(n + 1)), y, 2, 8, rounds=600, decay=1e-5)
+    assert abs(w[0] - 2) < 0.4 and abs(w[1] + 3) < 0.4 and abs(w[2]) < 0.3
+    assert abs(cuts[0] + 1) < 0.3 and abs(cuts[1] - 1) < 0.3
+    tails = o.Model(w, cuts, 0).tails(np.array([0.0, 5.0]))
+    assert (tails[:, 0] > tails[:, 1]).all() and (tails[1] > tails[0]).all()
+
+
+def test_held_out_grades_and_edges(spark):
+    r = random.Random(4)
+    plain = lambda: [r.choice("alpha beta gamma delta eps zeta eta".split()) + str(r.randrange(40)) for _ in range(r.randrange(20, 90))]
+    rows, grades = [], []
+    for i in range(900):
+        own = plain()
+        g = r.choice([0, 1, 2, 2, 2])
+        if g == 0:
+            own = [w + "***" for w in own]
+        if g == 1:
+            own[3:3] = ["nasty", "awful"]
+        rows.append((i, " ".join(own)))
+        grades.append((i, g * 10))
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as y", "'k' as kept")
+    model = o.train(df, spark.createDataFrame(grades[:600] + [(None, 0), (7, None), (10**6, 10)], "doc_id long, grade int"))
+    got = {x.doc_id: x for x in o.grade(df, model).collect()}
+    out = [(grades[i][1], got[i]) for i in range(600, 900)]
+    assert np.mean([x.kept == (g == 20) for g, x in out]) > 0.95
+    assert np.mean([x.expected_grade for g, x in out if g == 0]) < np.mean([x.expected_grade for g, x in out if g == 10]) < np.mean([x.expected_grade for g, x in out if g == 20])
+    odd = spark.createDataFrame([(None, "x"), (1, None), (2, ""), (3, "alpha1 " * 100_000), (3, "alpha1 " * 100_000)], "doc_id long, text string")
+    assert len(o.grade(odd, model).collect()) == 5
+    assert o.grade(odd.limit(0), model).count() == 0
+    none = o.train(df, spark.createDataFrame([(1, 5)], "doc_id long, grade int"))
+    assert none is None and all(x.kept for x in o.grade(odd, none).collect())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, quality_rules, sharding, simhash, token_orc, warc
+from . import decontaminate, language, mixing, ordinal, quality_rules, sharding, simhash, token_orc, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 bad, 1 good but toxic, 2 good."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") > 0, 1).when(F.col("quality") > 0, 2).alias("grade"))
+    return ordinal.grade(docs, ordinal.train(docs, ratings))
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -68,7 +75,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_mixing, op5_token_orc, op6_sharding, op7_decontaminate, op8_quality_rules, op9_language, op10_simhash)}
+    return {f.__name__: f for f in (op2_warc, op3_mixing, op4_ordinal_quality, op5_token_orc, op6_sharding, op7_decontaminate, op8_quality_rules, op9_language, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
