@@ -1,0 +1,78 @@
+import random
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tupelo.llm.html_text import extract, page_text
+
+CASES = [
+    ("plain &amp; &lt;b&gt; &eacute; &#65; &copy", "plain & <b> é A ©"),
+    ("<p>one<p>two<div>three</div>four", "one\n\ntwo\n\nthree\nfour"),
+    ("a  b\n\t c<br>d<br/>e</br>f", "a b c\nd\ne\nf"),
+    ("x <b> bold </b> y", "x bold y"),
+    ("<title>no</title><script>if(a<b){'</p>'}</script><style>p{}</style>yes<!-- no --><!--> seen<template>no</template>", "yes seen"),
+    ("<head><meta charset=u><title>t</title><p>body text", "body text"),
+    ("<div hidden>no</div><div style='color:red; display : none'>no</div><span style=visibility:hidden>no</span><i aria-hidden=true>yes</i>", "yes"),
+    ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>e", "- a\n- b\n  - c\n- d\n\ne"),
+    ("<ol start=3><li>a<li value=9>b<li>c</ol>", "3. a\n9. b\n10. c"),
+    ("<ol type=a><li>x<li>y</ol><ol reversed><li>p<li>q</ol>", "a. x\nb. y\n\n2. p\n1. q"),
+    ("<ul><li><p>one</p><p>two</p></ul>", "- one\n\n  two"),
+    ("<dl><dt>t<dd>d<dt>u<dd>e</dl>", "t\n  d\nu\n  e"),
+    ("<pre>\n a  b\n\n  c</pre>d", " a  b\n\n  c\n\nd"),
+    ("<table><tr><th>Name<th>Qty<tr><td>apple<td align=right>5<tr><td>fig<td align=right>12</table>", "Name   Qty\napple    5\nfig     12"),
+    ("<table><tr><td colspan=2>wide title<tr><td>a<td>b</table>", "wide title\na  b"),
+    ("<table><tr><td rowspan=2>left<td>x<tr><td>y</table>", "left  x\n      y"),
+    ("<table><caption>Cap</caption><td>世界<td>z<tr><td>abc<td>w</table>", "Cap\n世界  z\nabc   w"),
+    ("<table>stray<tr><td>a</table>", "stray\n\na"),
+    ("<table><tr><td>1<table><tr><td>in<td>ner</table><td>2</table>after", "1        2\n\nin  ner\n\nafter"),
+    ("<details><summary>S</summary>no</details><details open><summary>T</summary>yes</details>", "S\nT\nyes"),
+    ("<a href='x>y' title=\"q\">link</a> 1 < 2 </nothing> ok <", "link 1 < 2 ok <"),
+    ("<h1>A<h2>B</h2>c</h1>d", "A\n\nB\n\ncd"),
+    ("<blockquote>q<p>r</blockquote>s", "  q\n\n  r\n\ns"),
+    ("<textarea> keep &amp; <b></textarea><input value=v><input type=hidden value=no>", " keep & <b>v"),
+    ("<p>a</div>b</span></p></p>c", "ab\n\nc"),
+    ("", ""),
+    (None, ""),
+]
+
+
+@pytest.mark.parametrize("source,want", CASES)
+def test_layout(source, want):
+    assert page_text(source) == want
+
+
+WORD = st.text(alphabet="abcé", min_size=1, max_size=5)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.recursive(WORD, lambda inner: st.tuples(st.sampled_from(["p", "div", "ul", "li", "table", "tr", "td", "b", "h2", "dl", "dd", "pre", "blockquote", "section"]), st.lists(inner, max_size=4)), max_leaves=20), st.booleans())
+def test_every_visible_word_comes_out_once(shape, close):
+    seen = []
+
+    def write(x):
+        if isinstance(x, str):
+            seen.append(f"{x}{len(seen)}")
+            return f" {seen[-1]} "
+        return f"<{x[0]}>" + "".join(map(write, x[1])) + (f"</{x[0]}>" if close else "")
+
+    out = page_text(write(shape))
+    assert sorted(w for w in re.findall(r"[abcé]+\d+", out)) == sorted(seen)
+
+
+def test_depth_and_length():
+    assert page_text("<div>" * 50_000 + "deep" + "</div>" * 50_000) == "deep"
+    assert page_text("<b><p>x" * 3000).split() == ["x"] * 3000
+    assert len(page_text("<p>word</p>" * 50_000).split()) == 50_000
+    r = random.Random(1)
+    for _ in range(200):
+        page_text("".join(r.choice(["<", ">", "</", "p", "table", "tr", "td", " ", "=", "'", '"', "!--", "-->", "li", "&", "#x", ";"]) for _ in range(60)))
+
+
+def test_operator(spark):
+    rows = [(1, CASES[1][0]), (2, None), (None, "x"), (3, ""), (1, CASES[1][0]), (4, "<p>" + "long " * 100_000)]
+    df = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "'clash' as text", "1 as url")
+    got = extract(df).collect()
+    assert sorted((r.page_id or 0, r.text) for r in got) == sorted((i or 0, page_text(h)) for i, h in rows)
+    assert extract(df.limit(0)).count() == 0

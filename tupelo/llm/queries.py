@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, ordinal, quality_rules, sharding, simhash, token_orc, warc
+from . import decontaminate, html_text, language, mixing, ordinal, quality_rules, sharding, simhash, token_orc, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -75,7 +79,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_mixing, op4_ordinal_quality, op5_token_orc, op6_sharding, op7_decontaminate, op8_quality_rules, op9_language, op10_simhash)}
+    return {f.__name__: f for f in (op1_html_text, op2_warc, op3_mixing, op4_ordinal_quality, op5_token_orc, op6_sharding, op7_decontaminate, op8_quality_rules, op9_language, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
