@@ -57,9 +57,9 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
             engine = Engine(spark, catalog)
             source = Path(a.query).read_text()
             print(engine.explain(source, "cost"))
-            if not a.yes and len(a.unused) < 3 and input("enter 1 to continue, 0 to abort ").strip() == "0":
+            if not a.yes and len(a.unused) < 3 and input("run it? 1 yes, 0 no: ").strip() == "0":
                 return 1
-            print(f"Execution time = {engine.write(source, a.result):.3f}")
+            print(f"{engine.write(source, a.result):.3f} seconds")
             return 0
         at = Path(a.folder) / a.table
         table = read_det(at.with_suffix(".det"))

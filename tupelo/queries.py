@@ -48,7 +48,7 @@ SAMPLES: dict[str, Sample] = {
     "filter_ne": Sample('SELECT orders.o_orderkey,orders.o_orderstatus FROM orders WHERE orders.o_orderstatus!="F"', "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'"),
     "filter_col_col": Sample("SELECT lineitem.l_orderkey,lineitem.l_linenumber,lineitem.l_quantity FROM lineitem WHERE lineitem.l_quantity=lineitem.l_linenumber", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity = l_linenumber"),
     "join_2": Sample(_PAIR, _PAIR_SQL),
-    **{f"join_2_{m}": Sample(_PAIR, _PAIR_SQL, methods={("customer", "orders"): m}) for m in ("block_nested", "sort_merge", "hash")},
+    **{f"join_2_{m}": Sample(_PAIR, _PAIR_SQL, methods={("customer", "orders"): m}) for m in ("nested", "block_nested", "sort_merge", "hash")},
     "join_nested": Sample("SELECT nation.n_name,region.r_name FROM nation,region WHERE nation.n_regionkey=region.r_regionkey", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey", methods={("nation", "region"): "nested"}),
     "join_3": Sample("SELECT * FROM customer,orders,lineitem WHERE customer.c_custkey=orders.o_custkey,orders.o_orderkey=lineitem.l_orderkey", "SELECT * FROM customer, orders, lineitem WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey"),
     "join_4": Sample(f"SELECT * {_FOUR}", f"SELECT * {_FOUR_SQL}"),
