@@ -7,10 +7,11 @@ every `stride` rows with least and greatest values, and Bloom filters on doc_id,
 take stripes in parallel and skip what can't hold an id. Where a part starts among all ids comes
 from one number per part, read back from the files.
 
-Tokens can't span white space if the tokenizer drops it before splitting words, so each distinct
-run of other characters is encoded once and remembered; this is checked on the tokenizer's own
-definition, and any other tokenizer gets whole texts. The memory is emptied when it has
-`most_known` entries, which bounds it.
+If the tokenizer drops white space and splits words by a pattern before anything else, a word's ids
+don't depend on its text. Then plain Latin texts are split by that pattern, and each different word
+is handed to the tokenizer's model once and remembered; this is checked on the tokenizer's own
+definition. Any other tokenizer or text is encoded whole. The memory is emptied when it has
+`most_known` words, which bounds it.
 """
 
 from __future__ import annotations
@@ -33,30 +34,62 @@ STRIDE = 10_000
 ORC = {"orc.compress": "ZSTD", "orc.stripe.size": str(64 << 20), "orc.row.index.stride": str(STRIDE), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true"}
 
 
+#: Texts of white space and these characters alone are split into words here; all others go through the whole tokenizer.
+LETTERS, DIGITS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f", "0-9"
+PLAIN = "\\t-\\r -~" + LETTERS.removeprefix("A-Za-z")
+NOT_PLAIN = re.compile(rf"[^{PLAIN}\u2028]|<\|")
+#: Stands between texts: white space that no plain text has.
+CUT = "\u2028"
+
+
 class _Known(dict):
-    """The number of each run of characters; new ones are numbered and put down for encoding."""
+    """The number of each key; new keys are numbered and put down as new."""
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[bytes] = []
+    def __init__(self, keys=()) -> None:
+        super().__init__((k, i) for i, k in enumerate(keys))
+        self.new: list = []
 
-    def __missing__(self, run: bytes) -> int:
-        self[run] = n = len(self)
-        self.new.append(run)
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
         return n
 
 
+def _lists(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    return size, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(size.sum()))
+
+
+def _take(start: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The slices of flat from start, of these sizes, one after another."""
+    ends = np.cumsum(size)
+    place = np.repeat(start - (ends - size), size)
+    place += np.arange(len(place))
+    return flat[place]
+
+
 class Encoder:
-    """Encodes texts given as UTF-8 bytes; its memory lasts as long as the Python worker."""
+    """Encodes texts; its memory lasts as long as the Python worker."""
 
     _made: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, most_known: int = 500_000):
+    def __init__(self, path: str, most_known: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.most_known = most_known
-        self.by_run = drops_space(json.loads(self.tokenizer.to_str()))
+        made = json.loads(self.tokenizer.to_str())
+        self.pattern = None
+        if drops_space(made):
+            first, *rest = made["pre_tokenizer"].get("pretokenizers", [made["pre_tokenizer"]])
+            pattern = first["pattern"]["Regex"]
+            if "\\p" not in re.sub(r"\[[^\]]*\]", "", pattern):
+                self.pattern = re.compile(pattern.replace(r"\p{L}", LETTERS).replace(r"\p{N}", DIGITS) + f"|{CUT}")
+            normal = made.get("normalizer") or {}
+            self.lower = any(x["type"] == "Lowercase" for x in normal.get("normalizers", [normal]) if x)
+            # How the model spells a character: its bytes, if the tokenizer works on bytes.
+            spell = self.tokenizer.pre_tokenizer.pre_tokenize_str if rest else None
+            self.spelling = {ord(c): spell(c)[0][0] for c in map(chr, range(0xC0, 0x180)) if spell and c.isalpha()}
         self._forget()
 
     @classmethod
@@ -66,35 +99,39 @@ class Encoder:
         return cls._made[path]
 
     def _forget(self) -> None:
-        self.known, self.at, self.flat = _Known(), np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.words = _Known([CUT])
+        self.start, self.size, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def _learn(self) -> None:
-        if self.known.new:
-            found = self.tokenizer.encode_batch_fast([r.decode("utf-8", "replace") for r in self.known.new], add_special_tokens=False)
-            ids = [x.ids for x in found]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum()))])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-            self.known.new = []
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (int32) and where each text's start, and the end."""
-        if not self.by_run:
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(sizes.sum())), np.concatenate([[0], np.cumsum(sizes)])
-        if len(self.known) > self.most_known:
+        new, self.words.new = self.words.new, []
+        if new:
+            tokenize, spelling = self.tokenizer.model.tokenize, self.spelling
+            size, flat = _lists([[t.id for t in tokenize(w if w.isascii() else w.translate(spelling))] for w in new])
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of plain texts."""
+        if len(self.words) > self.most_known:
             self._forget()
-        runs = [t.split() for t in texts]
-        count = np.fromiter(map(len, runs), np.int64, len(runs))
-        number = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(runs)), np.int64, int(count.sum()))
+        joined = CUT.join([*texts, ""])
+        pieces = self.pattern.findall(joined.lower() if self.lower else joined)
+        number = np.fromiter(map(self.words.__getitem__, pieces), np.int64, len(pieces))
         self._learn()
-        sizes = self.at[number + 1] - self.at[number]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.at[number] - (ends - sizes), sizes) + np.arange(total)]
-        before = np.concatenate([[0], ends])
-        return ids, before[np.concatenate([[0], np.cumsum(count)])]
+        size = self.size[number]
+        return np.diff(np.cumsum(size)[number == 0], prepend=0), _take(self.start[number], size, self.flat)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (int32) and where each text's start, and the end."""
+        odd = np.array([self.pattern is None or NOT_PLAIN.search(t) is not None or CUT in t for t in texts], bool)
+        size, start = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        size[~odd], plain = self._plain([*itertools.compress(texts, ~odd)]) if not odd.all() else _lists([])
+        if not odd.any():
+            return plain, np.concatenate([[0], np.cumsum(size)])
+        size[odd], whole = _lists([x.ids for x in self.tokenizer.encode_batch_fast([*itertools.compress(texts, odd)], add_special_tokens=False)])
+        order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+        start[order] = np.cumsum(size[order]) - size[order]
+        return _take(start, size, np.concatenate([plain, whole])), np.concatenate([[0], np.cumsum(size)])
 
 
 def drops_space(made: dict) -> bool:
@@ -120,7 +157,7 @@ def drops_space(made: dict) -> bool:
     return bool(re.fullmatch(rf"{part}(?:\|{part})*", first["pattern"].get("Regex", "")))
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", piece: int = 1 << 20) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", piece: int = 2 << 20) -> None:
     """Writes docs' token ids to `path`. Null texts are empty: they have the end id alone.
 
     Rows are range-partitioned by doc_id, so the files follow one another in its order (null first);
@@ -136,12 +173,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: s
 
         encoder, part, start = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            data, at = bytes_of(batch.column(1))
-            row = 0
+            texts = batch.column(1).fill_null("")
+            at, row = bytes_of(texts)[1], 0
             while row < len(at) - 1:
                 end = max(row + 1, int(np.searchsorted(at, at[row] + piece, "right")) - 1)
-                raw = data[at[row] : at[end]].tobytes()
-                ids, before = encoder.encode([raw[a - at[row] : b - at[row]] for a, b in zip(at[row:end], at[row + 1 : end + 1], strict=True)])
+                ids, before = encoder.encode(texts.slice(row, end - row).to_pylist())
                 # The end id goes after each text: one more place for each text before it.
                 n = end - row
                 out = np.full(len(ids) + n, end_id, np.int32)
