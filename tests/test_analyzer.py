@@ -123,5 +123,6 @@ def test_builder_makes_the_same_spec(engine):
 
 def test_explain(engine):
     text = engine.explain('SELECT A.s FROM A,B WHERE A.id=B.id,B.n>"1" ORDERBY A.s')
-    assert text.startswith("Sort(Project(Join(A  [A.id=B.id]  Select(B  'B.n>\"1\"'))  [A.s]  )  [A.s]  )")
+    assert text.startswith("sort[A.s](project[A.s](join[A.id=B.id](A, filter[B.n>\"1\"](B))))\n")
+    assert engine.explain("SELECT DISTINCT A.s FROM A,B").startswith("distinct[](project[A.s](product[](A, B)))\n")
     assert "Physical Plan" in text

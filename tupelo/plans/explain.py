@@ -7,31 +7,29 @@ from pyspark.sql import DataFrame
 from ..operators.joins import walk
 from .analyzer import Analyzed
 
-_NAMES = {"nested": "NestedJoin", "block_nested": "BlockNested", "sort_merge": "SortMerge", "hash": "HashJoin", None: "Join"}
-
 
 def outline(q: Analyzed) -> str:
-    """The query's operators as one expression, in the order in which they are declared."""
+    """The query's operators as one expression, in the order in which they are declared:
+    operator[what it goes by](inputs)."""
     edges = [frozenset((p.left.table, p.right.table)) for p in q.edges]
+    listed = lambda x: ", ".join(map(str, x))
+    over = lambda name, by, *inputs: f"{name}[{listed(by)}]({', '.join(inputs)})"
     out = ""
     for table, own in walk(q.spec.tables, edges):
-        leaf = table
-        for p in q.filters[table]:
-            leaf = f"Select({leaf}  '{p}')"
+        leaf = over("filter", q.filters[table], table) if q.filters[table] else table
         method = next((q.spec.methods[edges[i]] for i in own if edges[i] in q.spec.methods), None)
-        name = _NAMES[method] if own else "Product"
-        out = f"{name}({out}  [{','.join(str(q.edges[i]) for i in own)}]  {leaf})" if out else leaf
-    listed = lambda x: ", ".join(map(str, x))
+        name = (f"{method}_join" if method else "join") if own else "product"
+        out = over(name, [q.edges[i] for i in own], out, leaf) if out else leaf
     if q.aggregates:
-        out = f"Aggregate({out}  [{listed(q.spec.group_by)}]  )"
+        out = over("aggregate", q.spec.group_by, out)
     elif q.spec.group_by:
-        out = f"Distinct({out}  [{listed(q.spec.group_by)}]  )"
+        out = over("distinct", q.spec.group_by, out)
     if not q.spec.star:
-        out = f"Project({out}  [{listed(q.output)}]  )"
+        out = over("project", q.output, out)
     if q.spec.distinct:
-        out = f"Distinct({out}  [{listed(q.output)}]  )"
+        out = over("distinct", (), out)
     if q.spec.order_by:
-        out = f"Sort({out}  [{listed(q.spec.order_by)}]  )"
+        out = over("sort", [f"{c} desc" if q.spec.descending else c for c in q.spec.order_by], out)
     return out
 
 
