@@ -142,10 +142,11 @@ def originals(rows: DataFrame, least: int = 100) -> DataFrame:
     """rows (key, digest, length) with refers_to: the smallest key of their digest, if that
     is another row's and payloads are of at least `least` bytes; else null.
 
-    A digest that many rows share is summed up before the shuffle, and its rows are the streamed
-    side of the join, which adaptive execution splits.
+    A digest that many rows share is summed up before the shuffle. The sums are written, so that the
+    join has a shuffle of its own on either side: adaptive execution splits a digest's rows only then.
     """
     first = rows.where(F.col("length") >= least).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("_digest"), "first")
+    first = saved(first, "originals")
     refers = F.when((F.col("length") >= least) & (F.col("first") < F.col("key")), F.col("first"))
     return rows.join(first, F.col("digest") == F.col("_digest"), "left").withColumn("refers_to", refers).drop("_digest", "first")
 
