@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -26,23 +27,32 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = Path(tempfile.mkdtemp(prefix=f"{PACKAGE}-")).as_uri()
         spark.conf.set(f"spark.{PACKAGE}.dir", found)
-    return found.rstrip("/")
+    # A path without a scheme means the cluster's default file system, as it does to Spark.
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", full).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{PACKAGE}-{what}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
+def saved(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """Cuts lineage: the rows written as Parquet in the shared folder, and read again.
 
     Lost executors cost only the tasks that they ran: what is written stays.
     """
-    path = fresh_path(df.sparkSession, what)
+    path = path or fresh_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Makes the package importable on executors, if the environment doesn't do so already."""
     there = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
@@ -74,6 +84,12 @@ def text_keys(text: F.Column) -> dict[str, F.Column]:
     return {"g1": F.xxhash64(text), "g2": F.xxhash64(F.lit(1), text, F.octet_length(text))}
 
 
+def id_keys(c: F.Column) -> tuple[F.Column, F.Column]:
+    """An id, which may be null, as two columns that never are. A null-safe comparison would do for a
+    join, but hides from the planner that its rows already lie together by id."""
+    return F.coalesce(c.cast("string"), F.lit("")), c.isNull()
+
+
 def paired(docs: DataFrame, found: DataFrame, doc_id: str, text: str, values: dict[str, str]) -> DataFrame:
     """docs with columns of found, which has doc_id, g1 and g2 (see text_keys) and a row for each row of docs.
 
@@ -83,7 +99,6 @@ def paired(docs: DataFrame, found: DataFrame, doc_id: str, text: str, values: di
     """
     keys = [free_name(docs, f"_pair{k}", *values.values()) for k in ("i", "n", "g1", "g2")]
     held, nth = free_name(docs, "_pairheld", *values.values()), free_name(docs, "_pairnth", *values.values())
-    id_keys = lambda c: (F.coalesce(c.cast("string"), F.lit("")), c.isNull())
     plan = found.select(*[c.alias(k) for c, k in zip((*id_keys(F.col("doc_id")), F.col("g1"), F.col("g2")), keys, strict=True)], F.struct(*values).alias(held))
     plan = plan.groupBy(*keys).agg(F.sort_array(F.collect_list(held)).alias(held))
     own = (*id_keys(F.col(f"`{doc_id}`")), *text_keys(F.col(f"`{text}`")).values())

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ._common import saved
+from ._common import discard, fresh_path, saved
 
 
 def _mins(pairs: DataFrame) -> DataFrame:
-    """The least neighbour of each node u, itself included; partial minima come before the shuffle."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """The least neighbour of each node u, itself included; partial minima come before the shuffle.
+
+    They are written, so that the join with the pairs has a shuffle of its own on either side:
+    adaptive execution splits a hub's pairs only then.
+    """
+    return saved(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -30,14 +34,24 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     links: columns u, v (long, not null), in any direction, repeats and loops allowed; an empty
     table gives an empty table. Each round shuffles rows of two numbers, at most as many as there
-    are links, and is written to the shared folder. The hub of a large star sits on the streamed
-    side of a join, which adaptive execution splits, and is summed up by partial minima elsewhere.
+    are links, and is written to the shared folder. The hub of a large star sits on one side of a
+    join, which adaptive execution splits, and is summed up by partial minima elsewhere.
     """
-    now = saved(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    sign = None
+    spark = links.sparkSession
+
+    def written(df: DataFrame) -> tuple[DataFrame, str, tuple]:
+        """The links saved, where, and their number and a sum of hashes, observed while they are written."""
+        seen, path = Observation(), fresh_path(spark, "links")
+        sign = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+        return saved(df.distinct().observe(seen, *sign), "links", path), path, tuple(seen.get.items())
+
+    now, path, sign = written(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     for _ in range(rounds):
-        now = saved(_small(_large(now)).distinct(), "links")
-        last, sign = sign, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if last == sign:
+        half, half_path, half_sign = written(_large(now))
+        discard(spark, path)
+        last = sign
+        now, path, sign = written(_small(half))
+        discard(spark, half_path)
+        if last == half_sign == sign:  # neither step finds anything to do: stars, each around its least node
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
     raise RuntimeError(f"no fixed point after {rounds} rounds")

@@ -256,7 +256,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = saved(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(hamming_links(distinct.select(F.col("fingerprint").alias("f")), budget, most))
     linked = distinct.join(roots, distinct.fingerprint == roots.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = saved(linked, "roots")
+    # Written, so that a large component's fingerprints can be split in the join below.
+    least = saved(linked.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     label = linked.join(least, "root").select("fingerprint", "component_id", "root")
     return rows.join(label, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id", "root")
 
