@@ -22,7 +22,7 @@ words = lambda t: len(re.findall(r"[^\x20\x09-\x0d]+", t or ""))
 @pytest.fixture(scope="module")
 def steps(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = [docs.collect()]
+    out = [docs.collect()]  # a small fixture
     for _, stage in c.STAGES:
         docs = c.saved(stage(spark, docs, SF), "test")
         out.append(docs.collect())

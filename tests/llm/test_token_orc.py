@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -12,10 +13,15 @@ from tupelo.llm import token_orc as o
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-def direct(texts, path=PATH):
+@functools.cache
+def tokenizer(path):
     from tokenizers import Tokenizer
 
-    return [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    return Tokenizer.from_file(path)
+
+
+def direct(texts, path=PATH):
+    return [x.ids for x in tokenizer(path).encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=200, deadline=None)
