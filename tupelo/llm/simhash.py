@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, own_columns, saved, ship
+from ._common import free_name, id_keys, own_columns, saved, ship
 from .components import components
 from .textvec import bytes_of
 
@@ -273,10 +273,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     found = near_duplicates(docs, doc_id, text, width, budget)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash"))
     stays = found.groupBy("root").agg(best.alias("b")).select(F.col("b.doc_id").alias("_stays_id"), F.col("b.text_hash").alias("_stays_hash"))
-    h, i = free_name(docs, "_text_hash"), free_name(docs, "_own_id")
-    own = docs.withColumn(h, F.xxhash64(F.col(f"`{text}`"))).withColumn(i, F.col(f"`{doc_id}`"))
-    s, t = free_name(own, "_stays_id"), free_name(own, "_stays_hash")
-    stays = stays.toDF(s, t)
-    kept = own.join(stays, own[i].eqNullSafe(stays[s]) & (own[h] == stays[t]))
-    # The join has brought a doc_id's rows together, so this takes no further shuffle.
-    return kept.dropDuplicates([i, h]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keys = [free_name(docs, f"_own{k}") for k in ("id", "null", "hash")]
+    stays = stays.select(*[c.alias(k) for c, k in zip((*id_keys(F.col("_stays_id")), F.col("_stays_hash")), keys, strict=True)])
+    own = docs.withColumns(dict(zip(keys, (*id_keys(F.col(f"`{doc_id}`")), F.xxhash64(F.col(f"`{text}`"))), strict=True)))
+    # The join has brought rows of one id and text together, so dropping repeats takes no further shuffle.
+    return own.join(stays, keys).dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])
