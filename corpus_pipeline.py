@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tupelo.llm import decontaminate, mixing, quality_rules, sharding, simhash
-from tupelo.llm._common import saved
+from tupelo.llm._common import discard, fresh_path, saved
 
 SHARDS = 40
 
@@ -52,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. Of the stages' tables only the one being read and the one being written exist."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = fresh_path(spark, f"stage-{name}")
+        docs = saved(stage(spark, docs, sf_dir), name, path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
