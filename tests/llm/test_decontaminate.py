@@ -53,7 +53,7 @@ def cases():
     return docs, items
 
 
-@pytest.mark.parametrize("block", [8 << 20, 300])
+@pytest.mark.parametrize("block", [4 << 20, 300])
 def test_overlaps_match_brute_force(spark, block):
     docs, items = cases()
     left = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as matched", "2 as item_id").repartition(3)

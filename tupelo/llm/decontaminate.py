@@ -135,7 +135,9 @@ def index(items: pa.Table, window: int, share: float, least: int) -> Index:
         all_at.append(own)
     h, where = np.concatenate(all_h), np.concatenate(all_at)
     order = np.argsort(h, kind="stable")
-    sieve = np.zeros(1 << max(16, int(np.ceil(np.log2(len(h) * 64 + 1)))), bool)
+    # 64 places a seed, but for a large block no more than 16 MB or 8 places a seed.
+    places = max(1 << 16, min(64 * len(h), max(1 << 24, 8 * len(h))))
+    sieve = np.zeros(1 << (places - 1).bit_length(), bool)
     sieve[h & U64(len(sieve) - 1)] = True
     return Index(items.column(0).combine_chunks().filter(pa.array(long)), hashes, before, item, h[order], where[order], sieve, window, share)
 
@@ -151,7 +153,7 @@ def _indexes(benchmark: DataFrame, item_id: str, text: str, window: int, share:
         yield index(rows.where(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").toArrow(), window, share, least)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 20, share: float = 0.8, least: int = 8, block_bytes: int = 8 << 20) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 20, share: float = 0.8, least: int = 8, block_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of docs and item that overlap: doc_id, item_id, matched, window, doc_token, item_token.
 
     Null and empty texts on either side overlap nothing; nor do items of fewer than `least` tokens.
@@ -180,7 +182,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 20, share: float = 0.8, least: int = 8, block_bytes: int = 8 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 20, share: float = 0.8, least: int = 8, block_bytes: int = 4 << 20) -> DataFrame:
     """docs without the rows that overlap an item, all columns kept."""
     spark = docs.sparkSession
     ship(spark)
