@@ -86,3 +86,34 @@ def test_common_seeds_stay_bounded():
     t = next(pieces(pa.array(["the same words again and again " * 30])))[2]
     text, item, matched, *_ = found.leaks(t)
     assert len(np.unique(item)) == 50 and (matched == 20).all()
+
+
+def test_case_and_marks_beyond_ascii(spark):
+    words = "canción übel niño été straße ÀÉÎ λόγος мир naïve cœur œuvre señor größe þing ǆep fin año mañana où déjà".split()
+    items = [(1, " ".join(words)), (2, " ".join(reversed(words)).upper()), (3, "«" + "»\u00a0“".join(w + "…" for w in words[5:17]) + "”")]
+    docs = [(1, "Before " + items[0][1].upper() + " after"), (2, items[1][1].lower()), (3, "x " + " ".join(words[5:17]) + " y"), (4, "¿" + "”\u2003«".join(words) + "?"), (5, " ".join(sorted(words)))]
+
+    def cut(text):
+        return re.findall(r"[^\W_]+", text.casefold())
+
+    def best(a, b, n):
+        return max((sum(x == y for x, y in zip(a[p : p + n], b[q : q + n])) for p in range(len(a) - n + 1) for q in range(len(b) - n + 1)), default=0)
+
+    want = {(i, j): best(cut(a), cut(b), min(20, len(cut(b)))) for i, a in docs for j, b in items}
+    want = {k: v for k, v in want.items() if v >= math.ceil(0.8 * min(20, len(cut(dict(items)[k[1]]))))}
+    assert {(1, 1), (2, 2), (3, 3), (4, 1)} <= set(want)
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.matched for r in d.overlaps(left, right).collect()} == want
+
+
+def test_characters_of_any_length_and_broken_bytes():
+    import pyarrow as pa
+
+    from tupelo.llm.textvec import pieces
+
+    raw = [b"\xc3", b"\xa9a b", "ÉＡ\u00adb 😀 𐐀 z".encode(), b"", b"\xff\xff"]
+    t = next(pieces(pa.array(raw, pa.binary())))[2]
+    hashes, before = d.tokens(t)
+    one = lambda x: d.tokens(next(pieces(pa.array([x])))[2])[0].tolist()
+    assert len(before) == 6 and before[-1] == len(hashes)
+    assert hashes[before[2] : before[3]].tolist() == one("é\uff41b 𐐨 Z")

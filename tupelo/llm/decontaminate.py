@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Tokens are runs of ASCII letters and digits and of all bytes beyond ASCII, A-Z in lower case. A
-mask names token positions that count; the others are ignored, so a substitution there doesn't
+Tokens are runs of letters, digits and their marks in any script, with case folded as Unicode does
+(so `STRASSE` is `straße`); all else parts them, invisible format characters are left out. A mask
+names token positions that count; the others are ignored, so a substitution there doesn't
 hide a match. The hashes of all masks at all places of the test items are joined with those of the
 documents, and around each hit the overlap is verified on its diagonal: a document leaks an item
 if, somewhere, at least `share` of `window` tokens in a row (of all tokens of a shorter item) are
@@ -14,8 +15,10 @@ are never shuffled.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +26,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import own_columns, ship
-from .textvec import LOWER, U64, Texts, bytes_of, mix, pieces
+from .textvec import HEAD, U64, Texts, bytes_of, mix, pieces
 
 #: Positions that count in each mask. With 8 to 20 tokens of which a fifth is substituted, one fits.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 4, 6, 7))
-#: Bytes to hash: what isn't in a token is space.
-TOKEN = LOWER.copy()
-TOKEN[[i for i in range(128) if not chr(i).isalnum()]] = 32
 _STEP = U64(0x9E3779B97F4A7C15)
+_CHARACTERS = 0x110000
+
+
+@cache
+def _folding() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each character: its case-folded form's length (0: left out), first character (0: not of a
+    token) and, below 0x10000, other characters. Unassigned and private ones may be letters."""
+    size, first = np.ones(_CHARACTERS, np.uint8), np.arange(_CHARACTERS, dtype=np.uint32)
+    rest = np.zeros((0x10000, 2), np.uint32)
+    for code in [*range(0x40000), *range(0xE0000, 0xE0200)]:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind == "Cf" and code != 0x200B:
+            size[code] = 0
+        elif not (c.isalnum() or kind[0] == "M" or kind in ("Cn", "Co")):
+            first[code] = 0
+        elif (folded := c.casefold()) != c:
+            size[code], first[code] = len(folded), ord(folded[0])
+            for k, x in enumerate(folded[1:]):
+                rest[code, k] = ord(x)
+    return size, first, rest
+
+
+def folded(t: Texts) -> Texts:
+    """The texts' case-folded characters, as numbers; 0 where no token is."""
+    head = np.flatnonzero(HEAD[t.data])
+    length = np.minimum(np.diff(np.append(head, len(t.data))), 4)
+    code = t.data[head].astype(np.int64) & np.array([0, 0x7F, 0x1F, 0x0F, 0x07])[length]
+    for k in (1, 2, 3):
+        more = np.flatnonzero(length > k)
+        code[more] = (code[more] << 6) | (t.data[head[more] + k] & 0x3F)
+    size, first, rest = _folding()
+    code = np.minimum(code, _CHARACTERS - 1)
+    sizes = size[code]
+    ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    out = np.repeat(first[code], sizes)
+    for k in (1, 2):
+        longer = np.flatnonzero(sizes > k)
+        out[ends[longer] + k] = rest[code[longer], k - 1]
+    return Texts(out, ends[np.searchsorted(head, t.at)])
 
 
 def tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each token, and the number of tokens before each text (and of all)."""
-    own = Texts(TOKEN[t.data], t.at)
-    start, end, before = own.words()
+    own = folded(t)
+    start, end, before = own.words(own.data > 0)
     return own.spans(own.prefix(), start, end), before
 
 

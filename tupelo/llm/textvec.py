@@ -67,9 +67,10 @@ class Texts:
     def spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((prefix[end] - prefix[start]) * powers(_IP, len(prefix))[start])
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of words, and the number of words before each text (and of all)."""
-        inside = ~SPACE[self.data]
+    def words(self, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of words, and the number of words before each text (and of all); inside: what
+        belongs to words, if not all but white space."""
+        inside = ~SPACE[self.data] if inside is None else inside
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         last = inside.copy()
