@@ -53,3 +53,27 @@ def test_held_out_grades_and_edges(spark):
     assert o.grade(odd.limit(0), model).count() == 0
     none = o.train(df, spark.createDataFrame([(1, 5)], "doc_id long, grade int"))
     assert none is None and all(x.kept for x in o.grade(odd, none).collect())
+
+
+def test_words_of_a_rare_kind_of_text_keep_their_weight():
+    """Held-out toxic rows, by language: the rare one's words are each in 3 training texts, fewer than any fixed count."""
+    r = random.Random(9)
+    rows = []
+    for i in range(2000):
+        lang = "es" if i % 20 == 0 else "en"
+        bad = r.random() < 0.2
+        own = [lang + str(r.randrange(60)) for _ in range(r.randrange(20, 60))]
+        if bad:
+            own[3:3] = r.sample([f"{lang}insult{k}{lang[1]}" for k in range(20)], 6)
+        rows.append((" ".join(own), 0 if bad else 1, lang))
+    t = next(pieces(pa.array([x[0] for x in rows])))[2]
+    bucket, value, before = o.features(t, 1 << 16)
+    y, lang = np.array([x[1] for x in rows]), np.array([x[2] for x in rows])
+    learn = np.arange(len(rows)) < 1000
+    n = before[1000]
+    w, cuts = o.fit(bucket[:n].astype(int), value[:n], before[:1001], y[learn], 1, 1 << 16)
+    tail = o.Model(w, cuts, 0).tails(np.add.reduceat(w[bucket.astype(int)] * value, before[:-1]))[:, 0]
+    for k in ("en", "es"):
+        own = ~learn & (lang == k)
+        cut = np.quantile(tail[own & (y == 1)], 0.05)
+        assert (tail[own & (y == 0)] < cut).mean() > 0.8, k

@@ -3,8 +3,9 @@
 A document's grade y is one of 0 .. K. One weight per hashed feature is shared by all grades, and
 ordered thresholds part them: P(y <= k) = logistic(threshold k - weights . x). Features are each
 word (A-Z in lower case) and its last three bytes, hashed into `buckets`; a feature's value is
-log2(1 + count), at most 2, so that one strong word shows even in a long text. Features that
-are in few training texts, or don't go with the grade, have no weight.
+log2(1 + count), at most 2, so that one strong word shows even in a long text. None is cut: the
+less a feature goes with the grade in the training texts, the smaller it is scaled, so that the
+penalty holds its weight down, but words of a rare kind of text keep what they tell.
 
 From the probabilities of the grades come the expected grade and the tail probability of reaching
 the best one, by which documents are selected. The cut is calibrated on graded rows that the fit
@@ -40,15 +41,16 @@ def features(t: Texts, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return bucket, np.minimum(np.log2(1 + count), 2.0), np.searchsorted(text, np.arange(len(t) + 1))
 
 
-def telling(bucket: np.ndarray, own: np.ndarray, grade: np.ndarray, buckets: int, rare: int, least: float) -> np.ndarray:
-    """Which buckets' presence goes with the grade: by chi-squared over the grades, in `rare` texts or more."""
+def evidence(bucket: np.ndarray, own: np.ndarray, grade: np.ndarray, buckets: int, chance: float) -> np.ndarray:
+    """The scale of each bucket, 0 .. 1: by chi-squared of its presence over the grades. `chance`, about
+    the most that chance gives any of so many buckets, is halfway before the power that parts them."""
     n = len(grade)
     sizes = np.bincount(grade)
     seen = np.stack([np.bincount(bucket[grade[own] == k], minlength=buckets) for k in range(len(sizes))])
     total = seen.sum(0)
     expected = total[None, :] * (sizes[:, None] / n)
     chi = ((seen - expected) ** 2 / np.maximum(expected, 1e-9)).sum(0) * n / np.maximum(n - total, 1)
-    return (total >= rare) & (chi >= least)
+    return (chi / (chi + chance)) ** 3
 
 
 def _logistic(z: np.ndarray) -> np.ndarray:
@@ -72,15 +74,15 @@ class Model:
         return tails.sum(1), tails[:, -1]
 
 
-def fit(bucket: np.ndarray, value: np.ndarray, before: np.ndarray, grade: np.ndarray, top: int, buckets: int, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3, rare: int = 8, least: float = 50.0) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds of greatest likelihood with a small penalty, by Adam over all rows.
+def fit(bucket: np.ndarray, value: np.ndarray, before: np.ndarray, grade: np.ndarray, top: int, buckets: int, rounds: int = 150, rate: float = 0.1, decay: float = 3e-5, chance: float = 30.0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds of greatest likelihood with a small penalty on scaled weights, by Adam over all rows.
 
     Thresholds are the first one and positive steps from it, so that they stay in order.
     """
     n, own = len(grade), owner(before)
-    use = telling(bucket, own, grade, buckets, rare, least)[bucket]
-    names, bucket = np.unique(bucket[use], return_inverse=True)
-    value, own = value[use], own[use]
+    scale = evidence(bucket, own, grade, buckets, chance)
+    value = value * scale[bucket]
+    names, bucket = np.unique(bucket, return_inverse=True)
     share = np.array([(grade < k).mean() for k in range(1, top + 1)])
     start = np.log((share * n + 1) / ((1 - share) * n + 1))
     p = np.concatenate([np.zeros(len(names)), start[:1], np.log(np.maximum(np.diff(start), 0.1))])
@@ -103,7 +105,7 @@ def fit(bucket: np.ndarray, value: np.ndarray, before: np.ndarray, grade: np.nda
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     weights = np.zeros(buckets)
-    weights[names] = p[: len(names)]
+    weights[names] = p[: len(names)] * scale[names]
     return weights, p[len(names)] + np.concatenate([[0], np.cumsum(np.exp(p[len(names) + 1 :]))])
 
 
