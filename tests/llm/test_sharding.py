@@ -50,3 +50,11 @@ def test_empty_and_single(spark):
 def test_place_takes_highest_dot_product():
     v = np.array([[4.0, 1, 1], [3, 1, 1], [3, 1, 1], [2, 1, 1]])
     assert sorted(np.bincount(s.place(v, 2), v[:, 0]).tolist()) == [6, 6]
+
+
+def test_small_table_with_a_large_group(spark):
+    r = random.Random(6)
+    rows = [(i, "one text of many rows " * 3 if i % 3 == 0 else "word%d " % r.randrange(10**6) * r.randint(5, 12)) for i in range(2400)]
+    got = s.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards=40).toPandas()
+    per = got.groupby("shard")["size"].sum()
+    assert len(per) == 40 and per.max() / per.mean() < 1.25

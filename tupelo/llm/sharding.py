@@ -68,7 +68,7 @@ def assign(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str
     heavy_if = (F.col("size") > most[0]) | (F.col("tokens") > most[1]) | (F.col("rows") > most[2])
     blocks = shards * parts
     block = F.pmod(F.xxhash64("g1", "g2"), F.lit(blocks)).cast("int")
-    groups = saved(groups.withColumn("heavy", heavy_if & F.lit(total["rows"] > blocks)).withColumn("block", block), "groups")
+    groups = saved(groups.withColumn("heavy", heavy_if).withColumn("block", block), "groups")
     heavy = groups.where("heavy").select(*key, *SIZES).orderBy(*key).toPandas()  # at most 3 x blocks rows
     light = groups.where("NOT heavy").groupBy("block").agg(*[F.sum(c).alias(c) for c in SIZES]).orderBy("block").toPandas()
 
