@@ -58,3 +58,18 @@ def test_small_table_with_a_large_group(spark):
     got = s.assign(spark.createDataFrame(rows, "doc_id long, text string"), shards=40).toPandas()
     per = got.groupby("shard")["size"].sum()
     assert len(per) == 40 and per.max() / per.mean() < 1.25
+
+
+def test_pieces_are_counted_and_rows_of_one_id_are_dealt(spark):
+    r = random.Random(6)
+    for same in (7, None):
+        rows = [(same if i % 3 == 0 else i, "one text of many rows " * 3 if i % 3 == 0 else "word%d " % r.randrange(10**6) * r.randint(5, 12)) for i in range(5000)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = s.assign(df, shards=40).toPandas()
+        assert len(got) == len(rows)
+        per = got.groupby("shard").agg(b=("size", "sum"), r=("slot", "size"), top=("slot", "max"), u=("slot", "nunique"))
+        assert len(per) == 40 and per.b.max() / per.b.mean() < 1.05 and per.b.min() / per.b.mean() > 0.95
+        assert (per.r == per.u).all() and (per.top + 1 == per.r).all()
+        again = s.assign(df.repartition(7), shards=40).toPandas()
+        key = ["doc_id", "text_crc32", "shard", "slot"]
+        assert got[key].sort_values(key, ignore_index=True).equals(again[key].sort_values(key, ignore_index=True))

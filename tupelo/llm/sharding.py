@@ -6,7 +6,8 @@ largest first, in the shard where the dot product of its vector with the shard's
 is highest. A block is a small part of a shard, so sizes come out near equal (law `bytes`), whatever
 the number of groups; a group that is heavier than a block should be is an item of its own, of which
 there are at most shards x parts in each dimension. One too large for a shard is dealt out over
-several pieces by its rows, the only case in which equal texts part.
+several pieces by its rows, also those of one id, the only case in which equal texts part; what has
+fallen to each piece is counted before it is placed.
 
 The driver holds one row per block and heavy group: at most (1 + 3) x shards x parts, at any size.
 """
@@ -14,10 +15,11 @@ The driver holds one row per block and heavy group: at most (1 + 3) x shards x p
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import free_name, own_columns, paired, saved, text_keys
+from ._common import free_name, id_keys, own_columns, paired, saved, text_keys
 
 WORD = r"[^\x20\x09-\x0D]+"
 SIZES = ("size", "tokens", "rows")
@@ -60,7 +62,8 @@ def assign(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str
     an empty table.
     """
     spark = docs.sparkSession
-    rows = saved(measured(docs, doc_id, text), "sizes")
+    # Rows that repeat an id and text are told apart by how many of them have which salt.
+    rows = saved(measured(docs, doc_id, text).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(ranks)).cast("int")), "sizes")
     total = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("size", "tokens")], F.count("*").alias("rows")).first()
     most = [max(1.0, total[c] / (shards * parts)) for c in SIZES]
     key = ["g1", "g2"]
@@ -75,23 +78,39 @@ def assign(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str
     # A heavy group gets so many pieces that each fits a shard.
     share = np.max([heavy[c].to_numpy(float) * shards / max(1, total[c]) for c in SIZES], axis=0) if len(heavy) else np.zeros(0)
     pieces = np.where(share > 1, np.minimum(np.ceil(2 * share), heavy["rows"].to_numpy(float)), 1).astype(np.int64)
-    of = np.repeat(np.arange(len(heavy)), pieces)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    vectors = np.concatenate([light[list(SIZES)].to_numpy(float), heavy[list(SIZES)].to_numpy(float)[of] / pieces[of][:, None]])
-    shard = place(vectors, shards)
+    split = pieces > 1
+    many = F.broadcast(spark.createDataFrame([*zip(heavy["g1"][split].tolist(), heavy["g2"][split].tolist(), pieces[split].tolist(), strict=True)], "g1 long, g2 long, pieces int"))
+    parted = rows.join(many, key, "left_anti").withColumn("piece", F.lit(0)).drop("salt")
+    items = heavy[~split].assign(piece=0)
+    if split.any():
+        dealt = saved(_dealt(rows.join(many, key)), "pieces")
+        counts = dealt.groupBy(*key, "piece").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
+        items = pd.concat([items, counts.orderBy(*key, "piece").toPandas()], ignore_index=True)  # about 2 x 3 x shards pieces
+        parted = parted.unionByName(dealt)
+    shard = place(np.concatenate([light[list(SIZES)].to_numpy(float), items[list(SIZES)].to_numpy(float)]), shards)
 
     light_at = F.broadcast(spark.createDataFrame([*zip(light["block"].tolist(), shard[: len(light)].tolist(), strict=True)], "block int, block_shard int"))
-    heavy_rows = zip(heavy["g1"].to_numpy()[of].tolist(), heavy["g2"].to_numpy()[of].tolist(), nth.tolist(), pieces[of].tolist(), shard[len(light) :].tolist(), strict=True)
-    heavy_at = spark.createDataFrame([*heavy_rows], "g1 long, g2 long, piece int, pieces int, heavy_shard int")
-    many = F.broadcast(heavy_at.groupBy(*key).agg(F.max("pieces").alias("pieces")))
+    heavy_rows = zip(*[items[c].tolist() for c in (*key, "piece")], shard[len(light) :].tolist(), strict=True)
+    heavy_at = F.broadcast(spark.createDataFrame([*heavy_rows], "g1 long, g2 long, piece int, heavy_shard int"))
     # Both tables have been bounded above, so they are broadcast and no row of the corpus is shuffled for its shard.
-    found = rows.withColumn("block", block).join(many, key, "left")
-    found = found.withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("pieces")), F.lit(0)).cast("int"))
-    found = found.join(F.broadcast(heavy_at.drop("pieces")), [*key, "piece"], "left").join(light_at, "block", "left")
+    found = parted.withColumn("block", block).join(heavy_at, [*key, "piece"], "left").join(light_at, "block", "left")
     found = found.withColumn("shard", F.coalesce("heavy_shard", "block_shard")).select("doc_id", "size", "tokens", "text_crc32", "g1", "g2", "shard", "piece")
     return numbered(found, shards, ranks)
 
 
+def _dealt(large: DataFrame) -> DataFrame:
+    """large, which has salt and pieces, with piece instead: by hash of the id and the row's number
+    among those of its id and text, which is counted within each salt from where those before end."""
+    kept = [c for c in large.columns if c not in ("salt", "pieces")]
+    same = ["g1", "g2", "_id", "_none"]
+    large = large.withColumns(dict(zip(same[2:], id_keys(F.col("doc_id")), strict=True)))
+    nth = F.row_number().over(Window.partitionBy(*same, "salt").orderBy(F.lit(0)))
+    before = F.sum("n").over(Window.partitionBy(*same).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    starts = large.groupBy(*same, "salt").agg(F.count("*").alias("n")).select(*same, "salt", F.coalesce(before, F.lit(0)).alias("start"))
+    large = large.withColumn("nth", nth).join(starts, [*same, "salt"]).withColumn("nth", F.col("start") + F.col("nth"))
+    return large.withColumn("piece", F.pmod(F.xxhash64("_id", "_none", "nth", F.lit(3)), F.col("pieces")).cast("int")).select(*kept, "piece")
+
+
 def numbered(found: DataFrame, shards: int, ranks: int) -> DataFrame:
     """found with slot: the rows of a shard are dealt to `ranks` parts by their ids, each part is
     numbered by itself, and starts where the parts before it end."""
