@@ -117,3 +117,14 @@ def test_characters_of_any_length_and_broken_bytes():
     one = lambda x: d.tokens(next(pieces(pa.array([x])))[2])[0].tolist()
     assert len(before) == 6 and before[-1] == len(hashes)
     assert hashes[before[2] : before[3]].tolist() == one("é\uff41b 𐐨 Z")
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Forty-two is it"), (2, "yes"), (3, "日本語の文章には単語の間に空白がありません。これは例です"), (4, "東京都"), (5, "one two three four five six seven"), (6, "!?"), (7, "Yes.")]
+    docs = [(1, "so FORTY two, is it. No"), (2, "forty two is that it"), (3, "前置き" + items[2][1].replace("例", "文") + "後書き"), (4, "私は東京都に住む yesterday"), (5, "one two three four five six seven"), (6, "one two three four six seven five"), (7, "yes " * 40000), (8, "forty two"), (9, "is it")]
+    want = {(1, 1): (4, 4), (3, 3): (20, 20), (4, 4): (3, 3), (5, 5): (7, 7), (7, 2): (1, 1), (7, 7): (1, 1)}
+    left, right = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.window) for r in d.overlaps(left, right, short=True).collect()}
+    assert got == want
+    assert sorted(r.doc_id for r in d.clean(left, right, short=True).collect()) == [2, 6, 8, 9]
+    assert {(r.doc_id, r.item_id) for r in d.overlaps(left, right).collect()} == {(3, 3)}

@@ -1,12 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Tokens are runs of letters, digits and their marks in any script, with case folded as Unicode does
-(so `STRASSE` is `straße`); all else parts them, invisible format characters are left out. A mask
+(so `STRASSE` is `straße`); all else parts them, invisible format characters are left out. In scripts
+that are written without spaces each character is a token. A mask
 names token positions that count; the others are ignored, so a substitution there doesn't
 hide a match. The hashes of all masks at all places of the test items are joined with those of the
 documents, and around each hit the overlap is verified on its diagonal: a document leaks an item
 if, somewhere, at least `share` of `window` tokens in a row (of all tokens of a shorter item) are
-those of the item. The default masks hit every such overlap, whichever tokens are substituted.
+those of the item. The default masks hit every such overlap, whichever tokens are substituted. Items
+too short for that are matched where asked for (`short`), as exact runs of all their tokens.
 
 The test set is small beside the corpus, but that isn't taken for granted: it is dealt into blocks
 of about `block_bytes`, each of which is broadcast and run over the documents by itself. Documents
@@ -32,6 +34,10 @@ from .textvec import HEAD, U64, Texts, bytes_of, mix, pieces
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 4, 6, 7))
 _STEP = U64(0x9E3779B97F4A7C15)
 _CHARACTERS = 0x110000
+#: Scripts without spaces: Thai and Lao, Myanmar, Khmer, Tai, Balinese, Javanese, kana, Han.
+_UNSPACED = np.zeros(_CHARACTERS, bool)
+for _a, _b in ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA980, 0xA9FF), (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF)):
+    _UNSPACED[_a : _b + 1] = True
 
 
 @cache
@@ -76,6 +82,18 @@ def folded(t: Texts) -> Texts:
 def tokens(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each token, and the number of tokens before each text (and of all)."""
     own = folded(t)
+    inside = own.data > 0
+    alone = np.flatnonzero(_UNSPACED[own.data] & inside)
+    if len(alone):
+        # A gap before and after each such character, which changes no hash of a span without gaps.
+        width = np.ones(len(own.data), np.int64)
+        width[alone] = 3
+        ends = np.concatenate([[0], np.cumsum(width)])
+        data = np.zeros(ends[-1], own.data.dtype)
+        at = ends[:-1].copy()
+        at[alone] += 1
+        data[at] = own.data
+        own = Texts(data, ends[own.at])
     start, end, before = own.words(own.data > 0)
     return own.spans(own.prefix(), start, end), before
 
@@ -102,12 +120,14 @@ class Index:
     sieve: np.ndarray
     window: int
     share: float
+    #: Lengths of the items that are matched exactly.
+    short: tuple[int, ...] = ()
 
     def leaks(self, t: Texts) -> tuple[np.ndarray, ...]:
         """text, item, matched tokens, window and the window's first token in text and item, for each
         text and item that overlap: of several overlaps the first of those with most matches."""
         own, before = tokens(t)
-        found = [self._verified(own, before, p, q, mask) for mask, p, q in self._hits(own)]
+        found = [(self._exact if exact else self._verified)(own, before, p, q, mask) for exact, mask, p, q in self._hits(own)]
         text, item, matched, size, p, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [()] * 6))
         order = np.lexsort((q, p, -matched, item, text))
         text, item, matched, size, p, q = (x[order] for x in (text, item, matched, size, p, q))
@@ -115,20 +135,31 @@ class Index:
         new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
         return tuple(x[new] for x in (text, item, matched, size, p - before[text], q - self.before[item]))
 
-    def _hits(self, own: np.ndarray) -> Iterator[tuple[tuple[int, ...], np.ndarray, np.ndarray]]:
-        for salt, mask in enumerate(MASKS):
+    def _hits(self, own: np.ndarray) -> Iterator[tuple[bool, tuple[int, ...], np.ndarray, np.ndarray]]:
+        for salt, mask in _masks(self.short):
             h = seeds(own, mask, salt)
             p = np.flatnonzero(self.sieve[h & U64(len(self.sieve) - 1)])
             first = np.searchsorted(self.hashes, h[p], "left")
             count = np.searchsorted(self.hashes, h[p], "right") - first
             p, first, count = p[count > 0], first[count > 0], count[count > 0]
             # A seed that is common in both may have many places: they are taken in turns.
-            step = 1 << 14
+            step = 1 << 12
             ends = np.cumsum(count)
             for k in range(0, int(ends[-1]) if len(ends) else 0, step):
                 n = np.arange(k, min(k + step, ends[-1]))
                 row = np.searchsorted(ends, n, "right")
-                yield mask, p[row], self.at[first[row] + n - (ends[row] - count[row])]
+                yield salt >= len(MASKS), mask, p[row], self.at[first[row] + n - (ends[row] - count[row])]
+
+    def _exact(self, own: np.ndarray, before: np.ndarray, p: np.ndarray, q: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, ...]:
+        """The hits where all of a short item's tokens are in the text; the first in each text and item."""
+        text = np.searchsorted(before, p, "right") - 1
+        good = p + len(mask) <= before[text + 1]
+        for k in mask:
+            good[good] = own[p[good] + k] == self.tokens[q[good] + k]
+        text, p, q = text[good], p[good], q[good]
+        first = np.unique(text * (len(self.before) + 1) + self.item[q], return_index=True)[1]
+        size = np.full(len(first), len(mask))
+        return text[first], self.item[q[first]], size, size, p[first], q[first]
 
     def _verified(self, own: np.ndarray, before: np.ndarray, p: np.ndarray, q: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, ...]:
         """The hits p (in the texts), q (in the items) around which a window that covers the seed matches."""
@@ -157,20 +188,30 @@ class Index:
         return tuple(x[good] for x in (text, item, most, size, p + where, q + where))
 
 
-def index(items: pa.Table, window: int, share: float, least: int) -> Index:
-    """items: item_id and text. Those with fewer than `least` tokens say too little and stay out."""
+def _masks(short: tuple[int, ...]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """Salts and masks: the spaced ones, then all of each short length."""
+    yield from enumerate(MASKS)
+    for n in short:
+        yield len(MASKS) + n, tuple(range(n))
+
+
+def index(items: pa.Table, window: int, share: float, least: int, short: bool = False) -> Index:
+    """items: item_id and text. Those with fewer than `least` tokens are matched exactly if `short`, or stay out."""
     data, at = bytes_of(items.column(1))
     hashes, before = tokens(Texts(data, at))
     count = np.diff(before)
-    long = count >= least
+    long = count >= (1 if short else least)
     keep = np.repeat(long, count)
     before = np.concatenate([[0], np.cumsum(count[long])])
     hashes = hashes[keep]
     item = np.repeat(np.arange(long.sum()), count[long])
+    size = count[long][item]
+    lengths = tuple(np.unique(size[size < least]).tolist())
     all_h, all_at = [], []
-    for salt, mask in enumerate(MASKS):
+    for salt, mask in _masks(lengths):
         h = seeds(hashes, mask, salt)
-        own = np.flatnonzero(item[: len(h)] == item[mask[-1] :][: len(h)])
+        fits = size[: len(h)] == len(mask) if salt >= len(MASKS) else size[: len(h)] >= least
+        own = np.flatnonzero(fits & (item[: len(h)] == item[mask[-1] :][: len(h)]))
         all_h.append(h[own])
         all_at.append(own)
     h, where = np.concatenate(all_h), np.concatenate(all_at)
@@ -179,10 +220,10 @@ def index(items: pa.Table, window: int, share: float, least: int) -> Index:
     places = max(1 << 16, min(64 * len(h), max(1 << 24, 8 * len(h))))
     sieve = np.zeros(1 << (places - 1).bit_length(), bool)
     sieve[h & U64(len(sieve) - 1)] = True
-    return Index(items.column(0).combine_chunks().filter(pa.array(long)), hashes, before, item, h[order], where[order], sieve, window, share)
+    return Index(items.column(0).combine_chunks().filter(pa.array(long)), hashes, before, item, h[order], where[order], sieve, window, share, lengths)
 
 
-def _indexes(benchmark: DataFrame, item_id: str, text: str, window: int, share: float, least: int, block_bytes: int) -> Iterator[Index]:
+def _indexes(benchmark: DataFrame, item_id: str, text: str, window: int, share: float, least: int, block_bytes: int, short: bool) -> Iterator[Index]:
     if least < MASKS[-1][-1] + 1 or window < least:
         raise ValueError("a window must hold the masks")
     rows = own_columns(benchmark, item_id, text).toDF("item_id", "text").where("text IS NOT NULL")
@@ -190,13 +231,14 @@ def _indexes(benchmark: DataFrame, item_id: str, text: str, window: int, share:
     blocks = max(1, -(-total // block_bytes))
     rows = rows.distinct().withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for k in range(blocks):
-        yield index(rows.where(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").toArrow(), window, share, least)
+        yield index(rows.where(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").toArrow(), window, share, least, short)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 20, share: float = 0.8, least: int = 8, block_bytes: int = 4 << 20) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 20, share: float = 0.8, least: int = 8, block_bytes: int = 4 << 20, short: bool = False) -> DataFrame:
     """One row per row of docs and item that overlap: doc_id, item_id, matched, window, doc_token, item_token.
 
-    Null and empty texts on either side overlap nothing; nor do items of fewer than `least` tokens.
+    Null and empty texts on either side overlap nothing; nor do items of fewer than `least`
+    tokens, unless `short` asks for their exact copies.
     Null ids are carried along; an item that occurs twice is one item; repeated rows of docs are
     judged each. Empty tables give an empty table.
     """
@@ -207,12 +249,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     names = ["doc_id", "item_id", "matched", "window", "doc_token", "item_token"]
     schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, item_id {kind}, matched long, window long, doc_token long, item_token long"
     out = None
-    for found in _indexes(benchmark, item_id, item_text, window, share, least, block_bytes):
+    for found in _indexes(benchmark, item_id, item_text, window, share, least, block_bytes, short):
         sent = spark.sparkContext.broadcast(found)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a, b, t in pieces(batch.column(1), 1 << 19):
+                for a, b, t in pieces(batch.column(1), 1 << 17):
                     own, item, *rest = sent.value.leaks(t)
                     if len(own):
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(own)), sent.value.ids.take(pa.array(item)), *map(pa.array, rest)], names=names)
@@ -222,17 +264,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 20, share: float = 0.8, least: int = 8, block_bytes: int = 4 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 20, share: float = 0.8, least: int = 8, block_bytes: int = 4 << 20, short: bool = False) -> DataFrame:
     """docs without the rows that overlap an item, all columns kept."""
     spark = docs.sparkSession
     ship(spark)
     at = docs.columns.index(text)
-    for found in _indexes(benchmark, item_id, item_text, window, share, least, block_bytes):
+    for found in _indexes(benchmark, item_id, item_text, window, share, least, block_bytes, short):
         sent = spark.sparkContext.broadcast(found)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for a, b, t in pieces(batch.column(at), 1 << 19):
+                for a, b, t in pieces(batch.column(at), 1 << 17):
                     good = np.ones(b - a, bool)
                     good[sent.value.leaks(t)[0]] = False
                     yield batch.slice(a, b - a).filter(pa.array(good))
