@@ -1,10 +1,13 @@
 import random
+from pathlib import Path
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tupelo.llm import simhash
+from tupelo.llm._common import scratch, shared_dir
 from tupelo.llm.components import components
 
 
@@ -62,7 +65,7 @@ def test_trie_join_finds_every_link(spark):
     prints = sorted(prints | {0, (1 << 64) - 1, 1 << 63})
     df = spark.createDataFrame([(p - (1 << 64) * (p >> 63),) for p in prints], "f long")
     want = slow_components(prints)
-    for most, deeper in ((20_000, 8), (5, 4)):
+    for most, deeper in ((20_000, 8), (5, 4), (2, 3)):
         roots = {x.node & (1 << 64) - 1: x.root & (1 << 64) - 1 for x in components(simhash.hamming_links(df, most=most, deeper=deeper)).collect()}
         groups = {}
         for p, w in zip(prints, want):
@@ -93,3 +96,40 @@ def test_keep_one_edges(spark):
 def test_majority_is_over_half():
     h = np.array([1, 2, 3, 3], np.uint64)
     assert simhash.fingerprint_bits(h, np.array([2, 2])).tolist() == [0, 3]
+
+
+def test_a_large_subtree_is_cut_again_until_no_pair_is_large(spark):
+    """Ten times `most` leaves agree in their first 30 bits, and in most of the next ones too."""
+    r = random.Random(8)
+    top, most = r.getrandbits(30) << 34, 60
+    middle = [r.getrandbits(6) << 12 for _ in range(6)]
+    prints = sorted({top | r.choice(middle) | r.getrandbits(12) for _ in range(14 * most)})[: 10 * most]
+    assert len(prints) == 10 * most
+    df = spark.createDataFrame([(p - (1 << 64) * (p >> 63),) for p in prints], "f long")
+    pairs = simhash.node_pairs(df, most=most)
+    sizes = pairs.groupBy("trie", "key", "depth", "low", "high").count()
+    assert sizes.agg(F.max("count")).first()[0] <= most
+    assert sizes.where("depth > 4").count() > 0
+    roots = {x.node & (1 << 64) - 1: x.root & (1 << 64) - 1 for x in components(simhash.hamming_links(df, most=most)).collect()}
+    groups = {}
+    for p, w in zip(prints, slow_components(prints)):
+        groups.setdefault(w, set()).add(roots.get(p, p))
+    assert all(len(g) == 1 for g in groups.values())
+    assert len({next(iter(g)) for g in groups.values()}) == len(groups)
+
+
+def test_too_few_rounds_raise(spark):
+    with pytest.raises(RuntimeError, match="no fixed point"):
+        components(spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long"), rounds=1)
+
+
+def test_only_what_results_read_is_left(spark):
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    rows = [(i, t) for i, t in enumerate(texts()[:60])]
+    before = {x.name for x in folder.iterdir()}
+    out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = sorted(x.name.split("-")[1] for x in folder.iterdir() if x.name not in before)
+    assert left == ["fingerprints", "labels"] and out.count() == 60
+    with scratch(spark, whole=True):
+        simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len({x.name for x in folder.iterdir()}) == len(before) + 2

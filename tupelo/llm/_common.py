@@ -1,12 +1,15 @@
-"""What every operator here shares: the cluster's shared folder, saved tables, small maths."""
+"""What every operator here shares: the cluster's shared folder, saved tables, rows told apart."""
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,16 +18,27 @@ from pyspark.sql import functions as F
 PACKAGE = __name__.split(".")[0]
 ROOT = Path(__file__).resolve().parents[2]
 _SHIPPED = f"spark.{PACKAGE}.shipped"
+#: Open scratches, the innermost last: whether each ends what is kept, too, and the paths it deletes.
+_scratches: list[tuple[bool, list[str]]] = []
+
+
+def one_machine(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process."""
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the one
+    given to setCheckpointDir().
 
-    Only where the session has none (tests, one machine) a temporary folder is made and set.
+    Only on one machine, where the session has none (tests), a temporary folder is made and set; on
+    a cluster that is an error, as its machines share no such folder.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get(f"spark.{PACKAGE}.dir", None)
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get(f"spark.{PACKAGE}.dir", None)
     if not found:
+        if not one_machine(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = Path(tempfile.mkdtemp(prefix=f"{PACKAGE}-")).as_uri()
         spark.conf.set(f"spark.{PACKAGE}.dir", found)
     # A path without a scheme means the cluster's default file system, as it does to Spark.
@@ -33,16 +47,34 @@ def shared_dir(spark: SparkSession) -> str:
     return re.sub(r"^file:/+", "file:///", full).rstrip("/")
 
 
-def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{PACKAGE}-{what}-{uuid.uuid4().hex}"
+def fresh_path(spark: SparkSession, what: str, keep: bool = False) -> str:
+    """A new path in the shared folder, for the innermost scratch() to delete, or if it is kept, for
+    the innermost one that ends kept tables too."""
+    path = f"{shared_dir(spark)}/{PACKAGE}-{what}-{uuid.uuid4().hex}"
+    own = next((paths for whole, paths in reversed(_scratches) if whole or not keep), None)
+    if own is not None:
+        own.append(path)
+    return path
+
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession, whole: bool = False) -> Iterator[None]:
+    """Deletes, at the end, what is written within, but for what is kept because a result that
+    leaves here still reads it. whole: nothing that leaves does."""
+    _scratches.append((whole, []))
+    try:
+        yield
+    finally:
+        for path in _scratches.pop()[1]:
+            discard(spark, path)
 
-def saved(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
+
+def saved(df: DataFrame, what: str, path: str | None = None, keep: bool = False) -> DataFrame:
     """Cuts lineage: the rows written as Parquet in the shared folder, and read again.
 
     Lost executors cost only the tasks that they ran: what is written stays.
     """
-    path = path or fresh_path(df.sparkSession, what)
+    path = path or fresh_path(df.sparkSession, what, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -54,15 +86,19 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes the package importable on executors, if the environment doesn't do so already."""
+    """Makes the package importable on executors. On one machine the environment may do so already."""
     there = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
-    if str(ROOT) in there or spark.conf.get(_SHIPPED, None):
+    if one_machine(spark) and str(ROOT) in there or spark.conf.get(_SHIPPED, None):
         return
-    target = Path(tempfile.mkdtemp(prefix=f"{PACKAGE}-zip-")) / f"{PACKAGE}.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in sorted((ROOT / PACKAGE).rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
-    spark.sparkContext.addPyFile(str(target))
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{PACKAGE}-{uuid.uuid4().hex}.zip")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(target.toString())
     spark.conf.set(_SHIPPED, "1")
 
 
@@ -90,19 +126,65 @@ def id_keys(c: F.Column) -> tuple[F.Column, F.Column]:
     return F.coalesce(c.cast("string"), F.lit("")), c.isNull()
 
 
+def salted(rows: DataFrame, ranks: int = 4096) -> DataFrame:
+    """rows with `salt`, which tells rows that are alike apart by where they lie. It must be saved
+    before it is read twice."""
+    return rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(ranks)).cast("int"))
+
+
+def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys that occur more than once, saved; None if none does."""
+    path = fresh_path(rows.sparkSession, "repeats", keep=True)
+    again = saved(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys), "repeats", path)
+    if not again.isEmpty():
+        return again
+    discard(rows.sparkSession, path)
+    return None
+
+
+def numbered_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows, a saved table with `salt`, with `nth` (long) in its place: the number of the row among
+    those alike in keys, from 0, in no particular order.
+
+    Rows of a key are counted by partial sums and numbered within each salt, however many they are.
+    Where no key occurs twice, which a count tells, rows aren't shuffled for it.
+    """
+    again = _repeated(rows, keys)
+    if again is None:
+        return rows.withColumn("nth", F.lit(0).cast("long")).drop("salt")
+    many = rows.join(again, keys, "left_semi")
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
+    starts = many.groupBy(*keys, "salt").agg(F.count("*").alias("_n")).select(*keys, "salt", F.coalesce(before, F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "salt").orderBy(F.lit(0)))
+    many = many.withColumn("nth", nth).join(starts, [*keys, "salt"]).withColumn("nth", F.col("_start") + F.col("nth") - 1)
+    columns = [*[c for c in rows.columns if c != "salt"], "nth"]
+    once = rows.join(again, keys, "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    return once.select(*columns).union(many.select(*columns))
+
+
 def paired(docs: DataFrame, found: DataFrame, doc_id: str, text: str, values: dict[str, str]) -> DataFrame:
     """docs with columns of found, which has doc_id, g1 and g2 (see text_keys) and a row for each row of docs.
 
     values: new column names (ones that docs doesn't have) by found's. Rows of one id and text are
-    interchangeable and get found's rows in order. The texts are shuffled once, for the join; the
-    numbering of such rows needs no other partitioning.
+    interchangeable. The texts are shuffled once, for the join. Where an id and text occur more than
+    once, those rows are written, numbered on either side and joined on their numbers too, so that
+    none of them waits for the others in one place.
     """
     keys = [free_name(docs, f"_pair{k}", *values.values()) for k in ("i", "n", "g1", "g2")]
-    held, nth = free_name(docs, "_pairheld", *values.values()), free_name(docs, "_pairnth", *values.values())
+    held = free_name(docs, "_pairheld", *values.values())
     plan = found.select(*[c.alias(k) for c, k in zip((*id_keys(F.col("doc_id")), F.col("g1"), F.col("g2")), keys, strict=True)], F.struct(*values).alias(held))
-    plan = plan.groupBy(*keys).agg(F.sort_array(F.collect_list(held)).alias(held))
+    plan = saved(salted(plan), "plan", keep=True)
     own = (*id_keys(F.col(f"`{doc_id}`")), *text_keys(F.col(f"`{text}`")).values())
-    joined = docs.withColumns(dict(zip(keys, own, strict=True))).join(plan, keys)
-    joined = joined.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
-    got = F.element_at(F.col(held), F.col(nth))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *[got[k].alias(v) for k, v in values.items()])
+    own = docs.withColumns(dict(zip(keys, own, strict=True)))
+    back = [*[F.col(f"`{c}`") for c in docs.columns], *[F.col(held)[k].alias(v) for k, v in values.items()]]
+    again = _repeated(plan, keys)
+    if again is None:
+        return own.join(plan.drop("salt"), keys).select(*back)
+    # Under names of their own, so that the documents' columns can't be taken for the salt or the number.
+    plain = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
+    many = own.join(again, keys, "left_semi").select(*keys, *[F.col(f"`{c}`").alias(k) for c, k in plain.items()])
+    many = numbered_repeats(saved(salted(many), "repeated", keep=True), keys)
+    told = numbered_repeats(plan.join(again, keys, "left_semi"), keys)
+    many = many.join(told, [*keys, "nth"]).select(*[F.col(k).alias(c) for c, k in plain.items()], *back[len(plain) :])
+    once = own.join(again, keys, "left_anti").join(plan.drop("salt"), keys).select(*back)
+    return once.union(many)

@@ -5,7 +5,8 @@ Sources, in code point order with null last, have the weights 5, 2, 1, repeating
 to the others by weight. The tokens to take are a number of blocks of `block` tokens, and go to
 the sources by highest quotients target / (2 k + 1). A source is dealt into shards of about
 `shard_tokens` by a hash of its documents, and its blocks go to its shards by the same rule, which
-gives an integer quota for each shard. A shard's documents, in seeded order, are one run of tokens
+gives an integer quota for each shard; a source of many shards hands them first to runs of `fan`
+shards, and each run to its own, so that no task sees all shards of a source. A shard's documents, in seeded order, are one run of tokens
 cut into blocks; a quota of q over n blocks takes all of them q // n times and then q % n of them,
 from a seeded block on, around the end. So nearly all documents are taken whole.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import free_name, own_columns, paired, saved, ship, text_keys
+from ._common import free_name, id_keys, numbered_repeats, own_columns, paired, salted, saved, scratch, ship, text_keys
 from .textvec import pieces
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,19 +65,20 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
     return out
 
 
-def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.5, most: int = 2, block: int = 32, shard_tokens: int = 1 << 20, seed: int = 17, most_sources: int = 100_000) -> DataFrame:
-    """One row per row of docs: doc_id, g1, g2, source, size, source_size, target, taken, whole, and
+def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, ratio: float = 1.5, most: int = 2, block: int = 32, shard_tokens: int = 1 << 20, seed: int = 17, most_sources: int = 100_000, fan: int = 4096) -> DataFrame:
+    """One row per row of docs: doc_id, g1, g2, nth, source, size, source_size, target, taken, whole, and
     spans: the [start, end) of the words taken once more than `whole` times.
 
     Null and empty texts have size 0 and are taken 0 times; null is a source of its own; rows of
-    one id and text are interchangeable. An empty table gives an empty table. The table of sources
+    one id and text are interchangeable, and nth counts them within their source. An empty table gives an empty table. The table of sources
     is made on the driver; over most_sources of them raise ValueError. Reruns agree.
     """
     spark = docs.sparkSession
     ship(spark)
     base = own_columns(docs, doc_id, text, source).toDF("doc_id", "text", "source")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = saved(base.select("doc_id", "source", size.alias("size"), *[c.alias(k) for k, c in text_keys(F.col("text")).items()]), "sizes")
+    alike = dict(zip(("_id", "_none", "_from", "_nowhere"), (*id_keys(F.col("doc_id")), *id_keys(F.col("source"))), strict=True)) | text_keys(F.col("text"))
+    rows = saved(salted(base.select("doc_id", "source", size.alias("size"), *[c.alias(k) for k, c in alike.items()])), "sizes", keep=True)
     found = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(most_sources + 1).collect()
     if len(found) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
@@ -90,17 +92,23 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
         sources = sources.withColumn("source", F.col("source").cast(rows.schema["source"].dataType))
     sources = F.broadcast(sources)  # at most most_sources rows
 
-    shard = F.pmod(F.xxhash64("doc_id", "g1", F.lit(seed)), F.col("shards"))
-    dealt = rows.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", shard)
-
-    def quotas(cells: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values("shard", ignore_index=True)
-        n = -(-cells["tokens"].to_numpy() // block)
-        q = sainte_lague(cells["tokens"].to_numpy(), cells["quota"].iloc[0], most * n)
-        return pd.DataFrame({"s": cells["s"], "shard": cells["shard"], "n": n, "q": q})
-
-    cells = dealt.groupBy("s", "shard", "quota").agg(F.sum("size").alias("tokens")).groupBy("s").applyInPandas(quotas, "s int, shard long, n long, q long")
-    order = Window.partitionBy("s", "shard").orderBy(F.xxhash64("g1", "doc_id", F.lit(seed + 1)), "doc_id", "g1", "g2")
+    shard = F.pmod(F.xxhash64("doc_id", "g1", "nth", F.lit(seed)), F.col("shards"))
+    dealt = numbered_repeats(rows, [*alike]).join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", shard)
+
+    def quotas(cells: pd.DataFrame, of: str) -> pd.DataFrame:
+        cells = cells.sort_values(of, ignore_index=True)
+        q = sainte_lague(cells["tokens"].to_numpy(), cells["quota"].iloc[0], most * cells["n"].to_numpy())
+        return cells.assign(q=q)[["s", of, "n", "q"]]
+
+    sums = [F.sum("tokens").alias("tokens"), F.sum("n").alias("n")]
+    blocks_of = F.ceil(F.col("tokens") / block).cast("long")
+    with scratch(spark):
+        cells = dealt.groupBy("s", "shard", "quota").agg(F.sum("size").alias("tokens")).withColumns({"n": blocks_of, "run": F.floor(F.col("shard") / fan)})
+        cells = saved(cells, "cells")
+        runs = cells.groupBy("s", "run", "quota").agg(*sums).groupBy("s").applyInPandas(lambda x: quotas(x, "run"), "s int, run long, n long, q long")
+        cells = cells.drop("quota").join(runs.select("s", "run", F.col("q").alias("quota")), ["s", "run"])
+        cells = saved(cells.groupBy("s", "run").applyInPandas(lambda x: quotas(x, "shard"), "s int, shard long, n long, q long"), "quotas", keep=True)
+    order = Window.partitionBy("s", "shard").orderBy(F.xxhash64("g1", "doc_id", "nth", F.lit(seed + 1)), "doc_id", "g1", "g2", "nth")
     run = dealt.join(cells, ["s", "shard"]).withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     start, left = F.col("end") - F.col("size"), F.col("q") % F.greatest("n", F.lit(1))
     first = F.pmod(F.xxhash64("s", "shard", F.lit(seed + 2)), F.greatest("n", F.lit(1)))
@@ -112,7 +120,7 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     whole = F.when(F.col("size") > 0, F.floor(F.col("q") / F.greatest("n", F.lit(1)))).otherwise(0).cast("long")
     extra = F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"])
     out = run.withColumns({"spans": spans, "whole": whole}).withColumn("taken", F.col("whole") * F.col("size") + extra)
-    return out.select("doc_id", "g1", "g2", "source", "size", "source_size", "target", "taken", "whole", "spans")
+    return out.select("doc_id", "g1", "g2", "nth", "source", "size", "source_size", "target", "taken", "whole", "spans")
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **mix) -> DataFrame:

@@ -11,9 +11,9 @@ and is given up once that exceeds the budget; two leaves that get through are li
 trie needn't stand in one place, it is built budget + 1 times, each time with another block of bits
 on top: two fingerprints within the budget agree in one block at least, so in one of the tries no
 bit differs above the block's end, and the subtree below each value of the block is joined by
-itself. A subtree with more than `most` leaves is cut once more: its next `deeper` levels are
-walked in the plan, so that each pair of lower nodes within the budget is a task key of its own.
-Nothing is capped.
+itself. A subtree with more than `most` leaves is cut: its next `deeper` levels are walked in the
+plan, so that each pair of lower nodes within the budget is a task key of its own, and so on with
+pairs that still have more than `most` leaves. Nothing is capped.
 
 A fingerprint has at most C(64,1) + C(64,2) = 2080 others within two bits, so links are linear in
 the distinct fingerprints; only a spanning forest of each task's links leaves the task.
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, id_keys, own_columns, saved, ship
+from ._common import free_name, fresh_path, id_keys, own_columns, saved, scratch, ship
 from .components import components
 from .textvec import bytes_of
 
@@ -186,38 +186,72 @@ def _join_batch(trie: np.ndarray, group: np.ndarray, whole: np.ndarray, side: np
     return value[moved], value[root[moved]]
 
 
-def hamming_links(distinct: DataFrame, budget: int = 2, most: int = 20_000, deeper: int = 8) -> DataFrame:
-    """Links (u, v) whose components are those of all pairs within the budget. distinct: one long column f."""
+def _lower(large: DataFrame, budget: int, deeper: int) -> DataFrame:
+    """Leaves (trie, key, t, w, depth, low, high, side, f) of pairs of nodes, `deeper` levels further down.
+
+    low and high are the two nodes' paths below the block; where they are the same node, it is paired
+    with itself. Each leaf goes to its own lower node in every pair with one within the budget.
+    """
+    masks = F.array(*[F.lit(m).cast("long") for m in range(1 << deeper) if m.bit_count() <= budget])
+    spent, same = F.bit_count(F.col("low").bitwiseXOR(F.col("high"))), F.col("low") == F.col("high")
+    within = F.filter(masks, lambda m: F.bit_count(m) + F.col("spent") <= budget)
+    # As many bits as there are left of the 64.
+    own = F.expr(f"shiftrightunsigned(shiftleft(t, w + depth), 64 - {deeper})")
+    down = large.withColumns({"spent": spent, "same": same, "own": own}).withColumn("mask", F.explode(within))
+    path = lambda node, bits: F.shiftleft(node, deeper).bitwiseOR(bits)
+    mine, other = F.when(F.col("side") == 0, F.col("low")).otherwise(F.col("high")), F.when(F.col("side") == 0, F.col("high")).otherwise(F.col("low"))
+    down = down.withColumns({"mine": path(mine, F.col("own")), "other": path(other, F.col("own").bitwiseXOR(F.col("mask")))})
+    side = F.when(F.col("same"), (F.col("mine") > F.col("other")).cast("int")).otherwise(F.col("side"))
+    first = F.when(side == 0, F.col("mine")).otherwise(F.col("other"))
+    second = F.when(side == 0, F.col("other")).otherwise(F.col("mine"))
+    return down.select("trie", "key", "t", "w", (F.col("depth") + deeper).alias("depth"), first.alias("low"), second.alias("high"), side.alias("side"), "f")
+
+
+def node_pairs(distinct: DataFrame, budget: int = 2, most: int = 1 << 18, deeper: int = 4) -> DataFrame:
+    """Leaves by the pair of nodes in which they are joined: trie, key, depth, low, high, side and f, no
+    pair with more than `most` leaves. distinct: one long column f. Within a scratch."""
     blocks = [BITS // (budget + 1) + (k < BITS % (budget + 1)) for k in range(budget + 1)]
     starts = [sum(blocks[:k]) for k in range(budget + 1)]
     tries = distinct.select("f", F.posexplode(F.array(*[F.lit(s) for s in starts])).alias("trie", "start"))
     width = F.element_at(F.array(*[F.lit(b) for b in blocks]), F.col("trie") + 1)
     turned = F.expr("CASE WHEN start = 0 THEN f ELSE shiftleft(f, start) | shiftrightunsigned(f, 64 - start) END")
-    keyed = tries.select("f", "trie", turned.alias("t"), width.alias("w")).withColumn("key", F.expr("shiftrightunsigned(t, 64 - w)"))
-    # Subtrees with more than `most` leaves: as each has that many, there are few, yet the join is left to Spark.
-    large = keyed.groupBy("trie", "key").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    large = saved(large.select("trie", "key"), "large")
-    any_large, usual = bool(large.limit(1).count()), keyed
-    if any_large:
-        usual = keyed.join(large, ["trie", "key"], "left_anti")
-    usual = usual.select("trie", "key", F.lit(-1).alias("low"), F.lit(-1).alias("high"), F.lit(0).alias("side"), "f")
-    if any_large:
-        # The next `deeper` levels: each leaf goes to its own node with itself, and to each pair of nodes within the budget.
-        masks = [m for m in range(1 << deeper) if bin(m).count("1") <= budget]
-        own = F.expr(f"cast(shiftrightunsigned(shiftleft(t, w), {BITS - deeper}) as int)")
-        cut = keyed.join(large, ["trie", "key"], "left_semi").withColumn("own", own)
-        cut = cut.withColumn("mask", F.explode(F.array(*[F.lit(m) for m in masks]))).withColumn("with", F.expr("own ^ mask"))
-        usual = usual.union(cut.select("trie", "key", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), (F.col("own") > F.col("with")).cast("int").alias("side"), "f"))
-    group = F.xxhash64("trie", "key", "low", "high")
-    dealt = usual.withColumn("g", group).repartition("g").sortWithinPartitions("g", "trie", "key", "low", "high")
+    leaves = tries.select("f", "trie", turned.alias("t"), width.alias("w")).withColumn("key", F.expr("shiftrightunsigned(t, 64 - w)"))
+    zero = F.lit(0).cast("long")
+    leaves = leaves.select("trie", "key", "t", "w", F.lit(0).alias("depth"), zero.alias("low"), zero.alias("high"), F.lit(0).alias("side"), "f")
+    pair, out = ["trie", "key", "depth", "low", "high"], None
+    while True:
+        # As each large pair has that many leaves, there are few, yet the join is left to Spark.
+        large = saved(leaves.groupBy(*pair).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*pair), "large")
+        done = large.isEmpty()
+        small = (leaves if done else leaves.join(large, pair, "left_anti")).select(*pair, "side", "f")
+        out = small if out is None else out.union(small)
+        if done:
+            return out
+        leaves = saved(_lower(leaves.join(large, pair, "left_semi"), budget, deeper), "lower")
+
+
+def hamming_links(distinct: DataFrame, budget: int = 2, most: int = 1 << 18, deeper: int = 4) -> DataFrame:
+    """Links (u, v), saved, whose components are those of all pairs within the budget. distinct: one long column f.
+
+    Null values of f aren't allowed; an empty table gives an empty table.
+    """
+    with scratch(distinct.sparkSession):
+        return saved(_joined(node_pairs(distinct, budget, most, deeper), budget), "found", keep=True)
+
+
+def _joined(usual: DataFrame, budget: int) -> DataFrame:
+    blocks = [BITS // (budget + 1) + (k < BITS % (budget + 1)) for k in range(budget + 1)]
+    starts = [sum(blocks[:k]) for k in range(budget + 1)]
+    group = F.xxhash64("trie", "key", "depth", "low", "high")
+    dealt = usual.withColumn("g", group).repartition("g").sortWithinPartitions("g", "trie", "key", "depth", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def join(table: pa.Table) -> pa.RecordBatch:
-            trie, key, low, high, side, f = (table.column(n).to_numpy() for n in ("trie", "key", "low", "high", "side", "f"))
+            trie, key, depth, low, high, side, f = (table.column(n).to_numpy() for n in ("trie", "key", "depth", "low", "high", "side", "f"))
             # Groups are told apart by number: rows come sorted by group.
-            new = np.concatenate([[True], (trie[1:] != trie[:-1]) | (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+            new = np.concatenate([[True], (trie[1:] != trie[:-1]) | (key[1:] != key[:-1]) | (depth[1:] != depth[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
             u, v = _join_batch(trie, np.cumsum(new), low == high, side, f.view(np.uint64), starts, blocks, budget)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
@@ -239,7 +273,7 @@ def hamming_links(distinct: DataFrame, budget: int = 2, most: int = 20_000, deep
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, budget: int = 2, most: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, budget: int = 2, most: int = 1 << 18) -> DataFrame:
     """One row per row of docs: doc_id, text_hash (long), fingerprint (long), component_id, root (long).
 
     root is the component's least fingerprint, and so tells components apart even without ids.
@@ -252,14 +286,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     ship(docs.sparkSession)
     base = own_columns(docs, doc_id, text).toDF("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    rows = saved(fingerprints(base, "text", width), "fingerprints")
-    distinct = saved(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(hamming_links(distinct.select(F.col("fingerprint").alias("f")), budget, most))
-    linked = distinct.join(roots, distinct.fingerprint == roots.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    linked = saved(linked, "roots")
-    # Written, so that a large component's fingerprints can be split in the join below.
-    least = saved(linked.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    label = linked.join(least, "root").select("fingerprint", "component_id", "root")
+    with scratch(docs.sparkSession):
+        rows = saved(fingerprints(base, "text", width), "fingerprints", keep=True)
+        distinct = saved(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "distinct")
+        nodes = fresh_path(docs.sparkSession, "nodes")
+        with scratch(docs.sparkSession, whole=True):
+            roots = saved(components(hamming_links(distinct.select(F.col("fingerprint").alias("f")), budget, most)), "nodes", nodes)
+        linked = distinct.join(roots, distinct.fingerprint == roots.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+        linked = saved(linked, "roots")
+        # Written, so that a large component's fingerprints can be split in the join below.
+        least = saved(linked.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+        label = saved(linked.join(least, "root").select("fingerprint", "component_id", "root"), "labels", keep=True)
     return rows.join(label, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id", "root")
 
 
