@@ -95,22 +95,32 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     index = {n: i for i, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), buckets), np.int64)
+        # The cells seen and their counts, in order: no more than there are cells, and merged as often as they double.
+        cells, counts, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            found, where = np.unique(np.concatenate([cells, *[c for c, _ in held]]), return_inverse=True)
+            return found, np.bincount(where, np.concatenate([counts, *[n for _, n in held]]), len(found)).astype(np.int64)
+
         for batch in batches:
             own = np.array([index[x] for x in batch.column(1).to_pylist()], np.int64)
             for a, b, t in pieces(batch.column(0)):
                 for bucket, before in ngrams(t, order, buckets):
-                    cell = np.repeat(own[a:b], np.diff(before)) * buckets + bucket
-                    total += np.bincount(cell, minlength=total.size).reshape(total.shape)
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], names=["i", "j", "n"])
+                    held.append(np.unique(np.repeat(own[a:b], np.diff(before)) * buckets + bucket, return_counts=True))
+                    size += len(held[-1][0])
+                    if size > len(cells) + (1 << 16):
+                        cells, counts = merged()
+                        held, size = [], 0
+        cells, counts = merged()
+        yield pa.RecordBatch.from_arrays([pa.array(cells // buckets), pa.array(cells % buckets), pa.array(counts)], names=["i", "j", "n"])
 
     # The sums are at most languages x buckets rows.
     sums = picked.mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()
     total = np.full((buckets, len(names)), 0.5)
     i, j, n = (sums.column(c).to_numpy() for c in ("i", "j", "n"))
     total[j, i] += n
-    return Model(tuple(names), np.log(total / total.sum(0)).astype(np.float32), np.log(np.full(len(names), 1 / len(names))), order)
+    shares = np.array([sizes[n] for n in names]) / sum(sizes.values())
+    return Model(tuple(names), np.log(total / total.sum(0)).astype(np.float32), np.log(shares), order)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:

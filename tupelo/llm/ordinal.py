@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import own_columns, saved, ship
+from ._common import own_columns, saved, scratch, ship
 from .quality_rules import calibrate
 from .textvec import LOWER, U64, Texts, mix, ngram_sums, owner, pieces
 
@@ -32,8 +32,8 @@ def features(t: Texts, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     data = LOWER[t.data]
     prefix = t.prefix(data)
     start, end, before = t.words()
-    word = t.spans(prefix, start, end)
-    tail = mix(t.spans(prefix, np.maximum(start, end - 3), end) + U64(1))
+    word = t.spans(prefix, start, end, data)
+    tail = mix(t.spans(prefix, np.maximum(start, end - 3), end, data) + U64(1))
     bucket = np.concatenate([word, tail]) & U64(buckets - 1)
     of = owner(before)
     key, count = np.unique(np.concatenate([of, of]).astype(np.int64) * buckets + bucket.astype(np.int64), return_counts=True)
@@ -113,38 +113,54 @@ def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str
     """A model from about `most` rated documents, those with the smallest seeded hashes: a documented
     bound. A fifth of them sets the cut, the others the weights.
 
-    A document with several ratings has the lowest one; null ids, ratings and texts take no part.
-    None if fewer than two grades are left.
+    A document with several ratings has the lowest one; of an id with several texts one counts, the
+    one with the smallest hash. Null ids, ratings and texts take no part. None if fewer than two
+    grades are left, as with an empty table of either kind; more than `most_grades` raise
+    ValueError. Columns other than these, whatever their names, play no part.
     """
     ship(docs.sparkSession)
     rated = own_columns(ratings, doc_id, grade).toDF("_doc", "_grade").dropna().groupBy("_doc").agg(F.min("_grade").alias("_grade"))
-    rated = saved(rated.join(own_columns(docs, doc_id).distinct(), F.col("_doc") == F.col(f"`{doc_id}`"), "left_semi"), "rated")
+    spark = docs.sparkSession
+    with scratch(spark):
+        rated = saved(rated.join(own_columns(docs, doc_id), F.col("_doc") == F.col(f"`{doc_id}`"), "left_semi"), "rated")
+        got, grades = _sampled(docs, rated, doc_id, text, most, buckets, seed, most_grades)
+    return _model(got, grades, buckets, false_share) if got is not None and len(got) else None
+
+
+def _sampled(docs: DataFrame, rated: DataFrame, doc_id: str, text: str, most: int, buckets: int, seed: int, most_grades: int) -> tuple[pa.RecordBatch | None, list]:
+    """Features of the sample (h, y, apart, bucket, value), one row per document, and the grades."""
     grades = sorted(r[0] for r in rated.select("_grade").distinct().limit(most_grades + 1).collect())
     if len(grades) > most_grades:
         raise ValueError(f"more than {most_grades} grades")
     if len(grades) < 2:
-        return None
+        return None, grades
     index = F.create_map(*[F.lit(x) for i, g in enumerate(grades) for x in (g, i)])
     dice = F.xxhash64("_doc", F.lit(seed)).cast("double") / F.lit(2.0**64) + 0.5
     picked = rated.where(dice <= min(1.0, most / rated.count())).select("_doc", index[F.col("_grade")].alias("y"), (F.pmod(F.xxhash64("_doc", F.lit(seed + 1)), F.lit(5)) == 0).alias("apart"))
     base = own_columns(docs, doc_id, text).toDF("_id", "text").where("text IS NOT NULL")
-    rows = base.join(F.broadcast(picked), F.col("_id") == F.col("_doc")).select("text", "y", "apart", F.xxhash64("_id", F.lit(seed)).alias("h"))  # picked: about `most` rows
+    rows = base.join(F.broadcast(picked), F.col("_id") == F.col("_doc")).select("text", "y", "apart", F.xxhash64("_id", F.lit(seed)).alias("h"), F.xxhash64("text").alias("t"))  # picked: about `most` rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, t in pieces(batch.column(0)):
                 bucket, value, before = features(t, buckets)
                 lists = [pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(x)) for x in (bucket.astype(np.int32), value.astype(np.float32))]
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in (1, 2, 3)], *lists], names=["y", "apart", "h", "bucket", "value"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in (1, 2, 3, 4)], *lists], names=["y", "apart", "h", "t", "bucket", "value"])
+
+    found = rows.mapInArrow(run, "y int, apart boolean, h long, t long, bucket array<int>, value array<float>")
+    # One row per document, however often its id is repeated: partial minima come before the shuffle.
+    one = found.groupBy("h", "y", "apart").agg(F.min(F.struct("t", "bucket", "value")).alias("x"))
+    return one.select("h", "y", "apart", "x.bucket", "x.value").orderBy("h", "y").toArrow().combine_chunks(), grades
+
 
-    got = rows.mapInArrow(run, "y int, apart boolean, h long, bucket array<int>, value array<float>").orderBy("h", "y", F.size("bucket")).toArrow().combine_chunks()
-    if not len(got):
-        return None
+def _model(got: pa.Table, grades: list, buckets: int, false_share: float) -> Model | None:
     y, apart = got.column("y").to_numpy(), got.column("apart").to_numpy()
     bucket, value = (np.concatenate([c.flatten().to_numpy() for c in got.column(n).chunks]) for n in ("bucket", "value"))
     before = np.concatenate([[0], np.cumsum(np.concatenate([c.value_lengths().to_numpy() for c in got.column("bucket").chunks]))])
     if len(np.unique(y[~apart])) < 2:
         apart = np.zeros(len(y), bool)
+        if len(np.unique(y)) < 2:
+            return None
     of = owner(before)
     learn = ~apart
     use = learn[of]

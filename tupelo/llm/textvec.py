@@ -3,7 +3,8 @@
 A text's words are its longest runs without white space, [^\\x20\\x09-\\x0D]+. The hash of the
 bytes s..e is a polynomial mod 2^64, read off prefix sums: (S[e] - S[s]) * P^-s. Its multiplier
 is odd and so has an inverse. Hashes go through a mixing step, as polynomials mod 2^64 have weak
-low bits.
+low bits. Long spans are hashed by XXH64 instead: some long texts collide under every such
+polynomial. Where equal hashes must mean equal bytes, unequal() tells.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
@@ -23,6 +25,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 #: Bytes that start a character.
 HEAD = (np.arange(256) & 0xC0) != 0x80
+#: Spans of more items than this are hashed by XXH64.
+LONG = 256
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -63,9 +67,25 @@ class Texts:
         np.cumsum((data.astype(U64) + U64(1)) * powers(_P, len(data)), out=s[1:])
         return s
 
-    @staticmethod
-    def spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((prefix[end] - prefix[start]) * powers(_IP, len(prefix))[start])
+    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray, data: np.ndarray | None = None) -> np.ndarray:
+        """The hash of each span start..end; prefix: of data, by default of the texts' own."""
+        data = self.data if data is None else data
+        out = mix((prefix[end] - prefix[start]) * powers(_IP, len(prefix))[start])
+        for k in np.flatnonzero(end - start > LONG).tolist():
+            out[k] = xxhash.xxh64_intdigest(np.ascontiguousarray(data[start[k] : end[k]]).tobytes(), 42)
+        return out
+
+    def unequal(self, start: np.ndarray, end: np.ndarray, other: np.ndarray, until: np.ndarray) -> np.ndarray:
+        """Which spans start..end differ in any byte from other..until."""
+        size = end - start
+        out = size != until - other
+        same = np.flatnonzero(~out & (start != other))
+        for part in np.array_split(same, 1 + int(size[same].sum()) // (4 << 20)):
+            n = size[part]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            differs = self.data[np.repeat(start[part], n) + within] != self.data[np.repeat(other[part], n) + within]
+            out[part] = np.bincount(np.repeat(np.arange(len(part)), n), differs, len(part)) > 0
+        return out
 
     def words(self, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of words, and the number of words before each text (and of all); inside: what
