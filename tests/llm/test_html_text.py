@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -33,6 +34,10 @@ CASES = [
     ("<blockquote>q<p>r</blockquote>s", "  q\n\n  r\n\ns"),
     ("<textarea> keep &amp; <b></textarea><input value=v><input type=hidden value=no>", " keep & <b>v"),
     ("<p>a</div>b</span></p></p>c", "ab\n\nc"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
+    ("<i style='display:none; display:inline'>yes</i><i style='VISIBILITY: hidden !important'>no</i>", "yes"),
+    ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> <svg><title>no</title><text>label</text></svg> <object>instead</object>", "x=1 label instead"),
+    ("<table><tr><td colspan=1000>wide<tr><td>a<td>b</table>", "wide\na  b"),
     ("", ""),
     (None, ""),
 ]
@@ -76,3 +81,91 @@ def test_operator(spark):
     got = extract(df).collect()
     assert sorted((r.page_id or 0, r.text) for r in got) == sorted((i or 0, page_text(h)) for i, h in rows)
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("depth", [50, 399, 400, 450, 5000])
+def test_hidden_text_stays_hidden_at_any_depth(depth):
+    deep = "<div>" * depth
+    assert page_text(f"{deep}seen<script>var leaked=1</script><p hidden>hid</p>") == "seen"
+    assert page_text(f"{deep}<div hidden>a<div>b</div>c<p>d</div>seen<style>x</style><b>too</b>") == "seentoo"
+    assert page_text(f"{deep}<p hidden>no<p>yes</p><span style='display:none'>no<br>no</span> end").split() == ["yes", "end"]
+    assert page_text(f"<section>{deep}<b hidden>no</section>out").split() == ["out"]
+    assert page_text(f"{deep}<ul><li hidden>no<ul><li>no</ul>no<li>yes</ul>").split()[-1] == "yes"
+
+
+def test_table_padding_is_bounded():
+    page = f"<table><tr><td>{'x' * 10_000}<td>end" + "".join("<tr><td>a<td>b" for _ in range(2000)) + "</table>"
+    out = page_text(page)
+    assert len(out) < 10 * len(page) and out.split().count("b") == 2000 and "x" * 10_000 in out
+    page = "<table>" + "".join(f"<tr><td colspan=1000 rowspan=65534>w{i}" for i in range(250)) + "</table>"
+    began = time.perf_counter()
+    assert page_text(page).split() == [f"w{i}" for i in range(250)]
+    assert time.perf_counter() - began < 0.1
+    many = "<table>" + "".join("<tr>" + "".join(f"<td>c{r}x{k}" for k in range(400)) for r in range(20)) + "</table>"
+    assert page_text(many).split() == [f"c{r}x{k}" for r in range(20) for k in range(400)]
+
+
+def plain_table(rows):
+    """Cells without spans, in aligned columns: by widths of whole columns."""
+    wide = [max(len(r[k]) for r in rows if k < len(r)) for k in range(max(map(len, rows)))]
+    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, wide)).rstrip() for r in rows)
+
+
+def simple(node):
+    """What a page of divs, paragraphs, bold words, flat lists and tables shows, straight from its tree:
+    a list of (blank lines before at least, line)."""
+    if isinstance(node, str):
+        return [(None, node)]
+    tag, children = node
+    if tag == "table":
+        return [(1, x) for x in plain_table(children).split("\n")[:1]] + [(0, x) for x in plain_table(children).split("\n")[1:]] + [(1, None)]
+    if tag == "ul":
+        return [(1 if i == 0 else 0, f"- {x}") for i, x in enumerate(children)] + [(1, None)]
+    out = []
+    for child in children:
+        out += simple(child)
+    if tag == "b":
+        return out
+    gap = 1 if tag == "p" else 0
+    return [(gap, None), *out, (gap, None)]
+
+
+def shown(node):
+    lines, gap, open_line = [], 0, False
+    for before, text in simple(node):
+        if before is not None:
+            open_line, gap = False, max(gap, before)
+        if text is None:
+            continue
+        if before is None and open_line:
+            lines[-1] += f" {text}"
+        else:
+            lines += [""] * (gap if lines else 0) + [text]
+            open_line = before is None
+        gap = 0
+        if before is not None:
+            open_line = False
+    return "\n".join(lines)
+
+
+def source(node):
+    if isinstance(node, str):
+        return f" {node} "
+    tag, children = node
+    if tag == "table":
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in children) + "</table>"
+    if tag == "ul":
+        return "<ul>" + "".join(f"<li>{x}" for x in children) + "</ul>"
+    return f"<{tag}>" + "".join(map(source, children)) + f"</{tag}>"
+
+
+CELL = st.text(alphabet="xyz", min_size=1, max_size=6)
+LEAF = st.one_of(CELL, st.tuples(st.just("table"), st.lists(st.lists(CELL, min_size=1, max_size=4), min_size=1, max_size=4)), st.tuples(st.just("ul"), st.lists(CELL, min_size=1, max_size=3)))
+INLINE = st.tuples(st.sampled_from(["p", "b"]), st.lists(CELL, max_size=3))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.recursive(st.one_of(LEAF, INLINE), lambda inner: st.tuples(st.just("div"), st.lists(inner, max_size=4)), max_leaves=12))
+def test_layout_matches_a_plain_walk_of_the_tree(node):
+    page = ("div", [node])
+    assert page_text(source(page)) == shown(page)

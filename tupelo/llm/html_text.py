@@ -3,13 +3,15 @@
 A lenient tokenizer feeds a tree builder that supplies the tags authors leave out (a paragraph ends
 where a block begins, an item where the next begins, cells belong to rows) and drops end tags that
 close nothing. What a browser wouldn't show is left out: scripts, styles, the head, templates,
-elements that are hidden by attribute or by their own style, closed details. The rest is laid out
-in lines: blocks on lines of their own, with a blank line around paragraphs, headings, lists and
-tables; list items with their bullet or number and hanging indents; preformatted text as it is;
-table cells in aligned columns, spans included.
+elements that are hidden by attribute or by their own style (one whose visibility is hidden may hold
+one that is visible), closed details, media that browsers play in place of their content. The rest
+is laid out in lines: blocks on lines of their own, with a blank line around paragraphs, headings,
+lists and tables; list items with their bullet or number and hanging indents; preformatted text as
+it is; table cells in aligned columns, spans included. Padding is bounded: a column is padded to
+WIDEST at most, and a line to LONGEST, beyond which cells follow each other two spaces apart.
 
 No step recurses, and as in browsers elements nest at most MOST_DEPTH deep: deeper ones become
-siblings, and no text is lost.
+siblings, no text is lost, and what a hidden one holds stays hidden up to its end.
 """
 
 from __future__ import annotations
@@ -17,20 +19,25 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import own_columns, ship
 
 MOST_DEPTH = 400
+WIDEST, LONGEST = 100, 300
+#: Columns of a table that are told apart: as each takes three places at least, more can't be aligned within a line.
+COLUMNS = 128
 
 # Elements by their kind in the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RAW_WITH_REFERENCES = frozenset("textarea title".split())
-UNSEEN = frozenset("head script style template noembed noframes iframe datalist title meta link base object video audio canvas svg math area param source track rp".split())
+UNSEEN = frozenset("head script style template noembed noframes iframe datalist title meta link base video audio canvas area param source track rp defs desc metadata symbol annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split())
 SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 listing menu ol p pre table ul xmp".split())
 ENDS_PARAGRAPH = BLOCK - frozenset("body caption html legend li optgroup option tbody td tfoot th thead tr".split()) | {"li"}
@@ -60,8 +67,6 @@ TABLE_PARTS = frozenset("table caption thead tbody tfoot tr td th".split())
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""[\s/]*(?:([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?)?""")
 _GAP = re.compile(r"[ \t\n\f\r]+")
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-_ALIGN = re.compile(r"(?:^|;)\s*text-align\s*:\s*(\w+)", re.I)
 
 
 class Node:
@@ -147,13 +152,49 @@ def tree(source: str) -> Node:
                 return 0
         return 0
 
+    # Within a hidden element beyond MOST_DEPTH: its tag, the elements open in it, and how many of each name.
+    skipped, inside, held = "", [], Counter()
+
     def open_(tag: str, attributes: dict[str, str]) -> None:
+        nonlocal skipped
         node = Node(tag, attributes)
+        if tag not in VOID and len(stack) >= MOST_DEPTH and not seen(node):
+            skipped = tag
+            inside.clear(), held.clear()
+            return
         stack[-1].children.append(node)
         if tag not in VOID and len(stack) < MOST_DEPTH:
             stack.append(node)
 
+    def goes_on(kind: str, name: str) -> bool:
+        """Whether the hidden element goes on past this token, which is then a part of it or its end."""
+        nonlocal skipped
+        if kind == "start":
+            ends = name in ENDS_PARAGRAPH if skipped == "p" else name in IMPLIED_ENDS and skipped in IMPLIED_ENDS[name][0]
+            if inside or not ends:
+                if name not in VOID:
+                    inside.append(name)
+                    held[name] += 1
+                return True
+        elif kind == "text":
+            return True
+        elif held[name]:
+            last = ""
+            while last != name:
+                last = inside.pop()
+                held[last] -= 1
+            return True
+        elif name == skipped:
+            skipped = ""
+            return True
+        elif not nearest(name, END_SCOPE - {name}):
+            return True
+        skipped = ""
+        return False
+
     for kind, name, attributes in tokens(source):
+        if skipped and goes_on(kind, name):
+            continue
         top = stack[-1]
         if kind == "text":
             if top.tag in ("table", "tbody", "thead", "tfoot", "tr") and name.strip(" \t\n\f\r"):
@@ -206,11 +247,22 @@ def tree(source: str) -> Node:
     return root
 
 
+def declared(node: Node, name: str) -> str:
+    """The value that the element's own style gives a property: the last one, in lower case."""
+    found = ""
+    for part in node.attributes.get("style", "").split(";"):
+        key, _, value = part.partition(":")
+        if key.strip().lower() == name:
+            found = value.partition("!")[0].strip().lower() or found
+    return found
+
+
 def seen(node: Node) -> bool:
+    """Whether the element takes part in the layout."""
     a = node.attributes
     if node.tag in UNSEEN or "hidden" in a and a["hidden"].lower() != "until-found" or node.tag == "dialog" and "open" not in a:
         return False
-    return not (node.tag == "input" and a.get("type", "").lower() == "hidden" or "style" in a and _HIDES.search(a["style"]))
+    return not (node.tag == "input" and a.get("type", "").lower() == "hidden" or "style" in a and declared(node, "display") == "none")
 
 
 def width(text: str) -> int:
@@ -288,61 +340,67 @@ class Flow:
 
 
 class Table:
-    """Cells of a table: their lines, where they start and what they span."""
+    """Cells of a table: their lines, where they start and what they span.
+
+    Columns from the last of COLUMNS on are one, in which cells follow each other.
+    """
 
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, int, list[str], str]]] = []
-        self.taken: dict[int, int] = {}  # column: rows that a cell from above still covers
+        self.until: np.ndarray | None = None  # of each column: the row up to which a cell from above covers it
         self.caption: list[str] = []
 
     def row(self) -> None:
-        self.taken = {c: n - 1 for c, n in self.taken.items() if n > 1}
         self.rows.append([])
 
     def cell(self, lines: list[str], node: Node) -> None:
         if not self.rows:
             self.row()
-        own = self.rows[-1]
-        column = own[-1][0] + own[-1][1] if own else 0
-        while self.taken.get(column):
-            column += 1
-        span, down = _count(node, "colspan", 1000), _count(node, "rowspan", 65534)
-        own.append((column, span, lines, align(node)))
-        if down > 1:
-            self.taken |= {c: down for c in range(column, column + span)}
+        own, last = self.rows[-1], COLUMNS - 1
+        column = own[-1][1] if own else 0
+        if self.until is not None and column < last:
+            free = np.flatnonzero(self.until[column:] < len(self.rows))
+            column = column + int(free[0]) if len(free) else last
+        column = min(column, last)
+        end = min(column + _count(node, "colspan", 1000), COLUMNS)
+        own.append((column, end, lines, align(node)))
+        if (down := _count(node, "rowspan", 65534)) > 1:
+            if self.until is None:
+                self.until = np.zeros(COLUMNS, np.int64)
+            self.until[column:end] = np.maximum(self.until[column:end], len(self.rows) + down - 1)
 
     def lines(self) -> list[str]:
         """Columns as wide as their widest cell, two spaces between them; the last isn't padded."""
-        widths: dict[int, int] = {}
-        for row in self.rows:
-            for column, span, lines, _ in row:
-                if span == 1:
-                    widths[column] = max(widths.get(column, 0), max(map(width, lines), default=0))
+        widths = np.zeros(COLUMNS, np.int64)
+        spans = []
         for row in self.rows:
-            for column, span, lines, _ in row:
-                if span > 1:
-                    need = max(map(width, lines), default=0) - sum(widths.get(c, 0) + 2 for c in range(column, column + span)) + 2
-                    if need > 0:
-                        widths[column + span - 1] = widths.get(column + span - 1, 0) + need
-        used = sorted(widths)
-        start, at = {}, 0
-        for c in used:
-            start[c] = at
-            at += widths[c] + 2
+            for column, end, lines, _ in row:
+                if lines:
+                    need = min(WIDEST, max(map(width, lines)))
+                    if end == column + 1:
+                        widths[column] = max(widths[column], need)
+                    else:
+                        spans.append((column, end, need))
+        taken = lambda x: x.sum() + 2 * np.count_nonzero(x)
+        for column, end, need in spans:
+            if (more := need - max(0, taken(widths[column:end]) - 2)) > 0:
+                # A last column without a width of its own takes two places more, for the gap before it.
+                new = not widths[end - 1] and taken(widths[column:end]) > 0
+                widths[end - 1] += max(1, more - 2) if new else more
+        start = np.minimum(np.concatenate([[0], np.cumsum(widths + 2 * (widths > 0))]), LONGEST).tolist()
         out = list(self.caption)
         for row in self.rows:
             for k in range(max((len(lines) for _, _, lines, _ in row), default=0)):
                 line, have = [], 0
-                for column, span, lines, side in row:
+                for column, end, lines, side in row:
                     text = lines[k] if k < len(lines) else ""
                     if not text:
                         continue
-                    begin = start.get(column, at)
-                    room = sum(widths.get(c, 0) + 2 for c in range(column, column + span)) - 2
-                    free = max(0, room - width(text))
-                    begin += free if side == "right" else free // 2 if side == "center" else 0
-                    line.append(" " * max(0, begin - have, 1 if line else 0) + text)
-                    have = max(begin, have + (1 if line[1:] else 0)) + width(text)
+                    free = max(0, start[end] - start[column] - 2 - width(text))
+                    begin = start[column] + (free if side == "right" else free // 2 if side == "center" else 0)
+                    begin = max(begin, have + 2 if line else 0)
+                    line.append(" " * (begin - have) + text)
+                    have = begin + width(text)
                 out.append("".join(line).rstrip(" "))
         return out
 
@@ -353,8 +411,7 @@ def _count(node: Node, name: str, most: int) -> int:
 
 
 def align(node: Node) -> str:
-    found = _ALIGN.search(node.attributes.get("style", ""))
-    return (found[1] if found else node.attributes.get("align", "")).lower()
+    return declared(node, "text-align") or node.attributes.get("align", "").lower()
 
 
 def _marker(kind: str, number: int) -> str:
@@ -369,18 +426,22 @@ def _marker(kind: str, number: int) -> str:
 
 def render(root: Node) -> str:
     flows, tables, lists = [Flow()], [], []
-    todo: list[tuple[object, bool, bool]] = [(root, False, False)]
+    #: Nodes to enter or leave, whether within preformatted text, and whether what they show is visible.
+    todo: list[tuple[object, bool, bool, bool]] = [(root, False, False, True)]
     while todo:
-        node, leaving, pre = todo.pop()
+        node, leaving, pre, shown = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            flow.exact(node) if pre else flow.text(node)
+            if shown:
+                flow.exact(node) if pre else flow.text(node)
             continue
         tag = node.tag
         gap = int(tag in SPACED and not (tag in LISTS and len(lists) > leaving))
         if not leaving:
             if not seen(node):
                 continue
+            if "style" in node.attributes and (visibility := declared(node, "visibility")):
+                shown = visibility not in ("hidden", "collapse") and (shown or visibility == "visible")
             if tag == "br":
                 flow.end_line(True)
                 continue
@@ -390,7 +451,7 @@ def render(root: Node) -> str:
                 flow.block()
                 continue
             if tag == "input":
-                if node.attributes.get("type", "text").lower() in ("text", "button", "submit", "reset", "search", "email", "url", "tel", "number"):
+                if shown and node.attributes.get("type", "text").lower() in ("text", "button", "submit", "reset", "search", "email", "url", "tel", "number"):
                     flow.text(node.attributes.get("value", ""))
                 continue
             if tag == "table":
@@ -426,8 +487,8 @@ def render(root: Node) -> str:
                 children = [re.sub(r"^\r?\n", "", children[0]), *children[1:]]
             if tag == "details" and "open" not in node.attributes:
                 children = [c for c in children if isinstance(c, Node) and c.tag == "summary"]
-            todo.append((node, True, pre))
-            todo += [(c, False, now) for c in reversed(children)]
+            todo.append((node, True, pre, shown))
+            todo += [(c, False, now, shown) for c in reversed(children)]
             continue
         if tag == "table":
             own = flows.pop().result()  # what stood between the cells
@@ -462,7 +523,9 @@ def extract(pages: DataFrame, key: str = "page_id", source: str = "html") -> Dat
     """One row per row of pages: its key and text.
 
     Null and empty pages have an empty text; text without any tag is one block; null keys and
-    repeated rows are rendered like others. An empty table gives an empty table.
+    repeated rows are rendered like others, and equal pages alike. Very long pages are rendered whole:
+    a table's text is at most LONGEST places a line longer than its cells'. Other columns, whatever
+    their names, stay out. An empty table gives an empty table.
     """
     ship(pages.sparkSession)
     base = own_columns(pages, key, source)
