@@ -67,3 +67,27 @@ def test_round_trip(spark, n, tmp_path):
         firsts = [pyarrow.orc.read_table(f).column("doc_id").to_pylist() for f in files]
         flat = [x for f in firsts for x in f if x is not None]
         assert flat == sorted(flat)
+
+
+@pytest.mark.parametrize("same", [None, 7])
+@pytest.mark.parametrize("text", ["one text", "text {}"])
+def test_a_third_of_all_rows_with_one_id_are_dealt_out(spark, tmp_path, same, text):
+    rows = [(same if i % 3 == 0 else 1000 + i, text.format(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = (tmp_path / "orc").as_uri()
+    o.write(df, path, PATH)
+    back = o.read(spark, path)
+    per = [r["count"] for r in back.groupBy("part").count().collect()]
+    assert sum(per) == 3000 and max(per) < 700 and len(per) == 8
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in back.collect())
+    assert all(a[0] + a[2] == b[0] and (a[1] is not None, a[1]) <= (b[1] is not None, b[1]) for a, b in zip(got, got[1:]) if a[1] is not None and b[1] is not None)
+    assert sorted(str(g[1]) for g in got) == sorted(str(r[0]) for r in rows)
+
+
+def test_files_grow_in_number_with_the_input(spark, tmp_path):
+    spark.range(2000).selectExpr("id doc_id", "repeat(sha2(cast(id as string), 256), 30) text").write.parquet(str(tmp_path / "in"))
+    df = spark.read.parquet(str(tmp_path / "in"))
+    size = o.input_bytes(df)
+    o.write(df, str(tmp_path / "orc"), PATH, part_bytes=size // 20)
+    assert 20 <= len([*(tmp_path / "orc").glob("part-*.orc")]) <= 23
+    assert o.input_bytes(spark.createDataFrame([(1, "x")], "doc_id long, text string")) is None

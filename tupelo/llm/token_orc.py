@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh_path, own_columns, ship
+from ._common import fresh_path, own_columns, saved, scratch, ship
 from .textvec import bytes_of
 
 STRIDE = 10_000
@@ -157,11 +157,30 @@ def drops_space(made: dict) -> bool:
     return bool(re.fullmatch(rf"{part}(?:\|{part})*", first["pattern"].get("Regex", "")))
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", piece: int = 2 << 20) -> None:
+def input_bytes(df: DataFrame) -> int | None:
+    """The size of df's files as Catalyst knows it; None if it doesn't."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else None
+
+
+def ordered(base: DataFrame, parts: int) -> DataFrame:
+    """base (doc_id, text) by ranges of doc_id, sorted within. Where rows of one id, or of none, are
+    more than two parts of all, their texts and then their places part them too."""
+    counts = base.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()
+    if (counts["most"] or 0) * parts <= 2 * (counts["all"] or 0) or counts["most"] == 1:
+        return base.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Written first, as a row's place must stay what it is.
+    placed = saved(base.withColumns({"h": F.xxhash64("text"), "at": F.monotonically_increasing_id()}), "placed")
+    return placed.repartitionByRange(parts, "doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at").drop("h", "at")
+
+
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", piece: int = 2 << 20, part_bytes: int = 128 << 20) -> None:
     """Writes docs' token ids to `path`. Null texts are empty: they have the end id alone.
 
     Rows are range-partitioned by doc_id, so the files follow one another in its order (null first);
-    repeated ids stay together, in no particular order unless their texts differ.
+    repeated ids stay together, in no particular order unless their texts differ. There are as many
+    files as the session has shuffle partitions, or more, so that none has much over part_bytes of
+    the input.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -191,8 +210,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: s
                 start += int(offsets[-1])
                 row = end
 
-    ordered = base.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, f"doc_id {kind}, part int, start long, n_tokens long, ids array<int>").write.options(**ORC).orc(path)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(input_bytes(base) or 0) // part_bytes))
+    with scratch(spark):
+        ordered(base, parts).mapInArrow(run, f"doc_id {kind}, part int, start long, n_tokens long, ids array<int>").write.options(**ORC).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -230,6 +250,6 @@ def round_trip(docs: DataFrame, tokenizer: str, **writing) -> DataFrame:
 
     An empty table gives an empty table; extra columns stay out.
     """
-    path = fresh_path(docs.sparkSession, "tokens")
+    path = fresh_path(docs.sparkSession, "tokens", keep=True)
     write(docs, path, tokenizer, **writing)
     return checksums(read(docs.sparkSession, path))
