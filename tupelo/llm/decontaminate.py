@@ -11,8 +11,9 @@ those of the item. The default masks hit every such overlap, whichever tokens ar
 too short for that are matched where asked for (`short`), as exact runs of all their tokens.
 
 The test set is small beside the corpus, but that isn't taken for granted: it is dealt into blocks
-of about `block_bytes`, each of which is broadcast and run over the documents by itself. Documents
-are never shuffled.
+of about `block_bytes`, each of which is broadcast by itself. Documents are read and tokenized once,
+in parts of about `part_bytes`, each of which meets one block after another; a task holds one block
+at a time. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,10 +125,10 @@ class Index:
     #: Lengths of the items that are matched exactly.
     short: tuple[int, ...] = ()
 
-    def leaks(self, t: Texts) -> tuple[np.ndarray, ...]:
+    def leaks(self, own: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, ...]:
         """text, item, matched tokens, window and the window's first token in text and item, for each
-        text and item that overlap: of several overlaps the first of those with most matches."""
-        own, before = tokens(t)
+        text and item that overlap: of several overlaps the first of those with most matches. own and
+        before: the texts' tokens."""
         found = [(self._exact if exact else self._verified)(own, before, p, q, mask) for exact, mask, p, q in self._hits(own)]
         text, item, matched, size, p, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [()] * 6))
         order = np.lexsort((q, p, -matched, item, text))
@@ -234,13 +236,37 @@ def _indexes(benchmark: DataFrame, item_id: str, text: str, window: int, share:
         yield index(rows.where(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").toArrow(), window, share, least, short)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 20, share: float = 0.8, least: int = 8, block_bytes: int = 4 << 20, short: bool = False) -> DataFrame:
+def _met(batches: Iterator[pa.RecordBatch], at: int, blocks: list[Broadcast], part_bytes: int) -> Iterator[tuple[pa.RecordBatch, list[tuple]]]:
+    """Batches of about part_bytes of text, with what leaks() finds in their pieces, block by block: the
+    first row of the piece, the block's item ids and the leaks."""
+    for batch in batches:
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        size = first = 0
+        for a, b, t in pieces(batch.column(at), 1 << 17):
+            held.append((a - first, *tokens(t)))
+            size += len(t.data)
+            if size < part_bytes and b < batch.num_rows:
+                continue
+            found = []
+            for sent in blocks:
+                block = sent.value
+                found += [(row, block.ids, block.leaks(own, before)) for row, own, before in held]
+                del block
+                if len(blocks) > 1:
+                    # The worker would else hold all blocks; what it needs again it reads from its disk.
+                    vars(sent).pop("_value", None)
+            yield batch.slice(first, b - first), found
+            held, size, first = [], 0, b
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 20, share: float = 0.8, least: int = 8, block_bytes: int = 4 << 20, short: bool = False, part_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of docs and item that overlap: doc_id, item_id, matched, window, doc_token, item_token.
 
     Null and empty texts on either side overlap nothing; nor do items of fewer than `least`
-    tokens, unless `short` asks for their exact copies.
+    tokens, unless `short` asks for their exact copies. Of several overlaps with most matches (ties)
+    the first in the document counts. Very long texts are searched whole.
     Null ids are carried along; an item that occurs twice is one item; repeated rows of docs are
-    judged each. Empty tables give an empty table.
+    judged each. Other columns, whatever their names, stay out. Empty tables give an empty table.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -248,36 +274,30 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     kind = own_columns(benchmark, item_id).schema.fields[0].dataType.simpleString()
     names = ["doc_id", "item_id", "matched", "window", "doc_token", "item_token"]
     schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, item_id {kind}, matched long, window long, doc_token long, item_token long"
-    out = None
-    for found in _indexes(benchmark, item_id, item_text, window, share, least, block_bytes, short):
-        sent = spark.sparkContext.broadcast(found)
+    blocks = [spark.sparkContext.broadcast(x) for x in _indexes(benchmark, item_id, item_text, window, share, least, block_bytes, short)]
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b, t in pieces(batch.column(1), 1 << 17):
-                    own, item, *rest = sent.value.leaks(t)
-                    if len(own):
-                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(own)), sent.value.ids.take(pa.array(item)), *map(pa.array, rest)], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _met(batches, 1, blocks, part_bytes):
+            for row, ids, (own, item, *rest) in found:
+                if len(own):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own + row)), ids.take(pa.array(item)), *map(pa.array, rest)], names=names)
 
-        rows = base.mapInArrow(run, schema)
-        out = rows if out is None else out.union(rows)
-    return out
+    return base.mapInArrow(run, schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 20, share: float = 0.8, least: int = 8, block_bytes: int = 4 << 20, short: bool = False) -> DataFrame:
-    """docs without the rows that overlap an item, all columns kept."""
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 20, share: float = 0.8, least: int = 8, block_bytes: int = 4 << 20, short: bool = False, part_bytes: int = 8 << 20) -> DataFrame:
+    """docs without the rows that overlap an item, all columns kept. What overlaps() says of nulls,
+    empty and long texts and short items holds here."""
     spark = docs.sparkSession
     ship(spark)
     at = docs.columns.index(text)
-    for found in _indexes(benchmark, item_id, item_text, window, share, least, block_bytes, short):
-        sent = spark.sparkContext.broadcast(found)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a, b, t in pieces(batch.column(at), 1 << 17):
-                    good = np.ones(b - a, bool)
-                    good[sent.value.leaks(t)[0]] = False
-                    yield batch.slice(a, b - a).filter(pa.array(good))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    blocks = [spark.sparkContext.broadcast(x) for x in _indexes(benchmark, item_id, item_text, window, share, least, block_bytes, short)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _met(batches, at, blocks, part_bytes):
+            good = np.ones(batch.num_rows, bool)
+            for row, _, leaks in found:
+                good[leaks[0] + row] = False
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
