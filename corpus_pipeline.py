@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tupelo.llm import decontaminate, mixing, quality_rules, sharding, simhash
-from tupelo.llm._common import discard, fresh_path, saved
+from tupelo.llm._common import discard, fresh_path, saved, scratch
 
 SHARDS = 40
 
@@ -52,11 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Of the stages' tables only the one being read and the one being written exist."""
+    """The last stage's rows. Of the stages' tables only the one being read and the one being written
+    exist, and what a stage has written besides goes with it."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
-        docs = saved(stage(spark, docs, sf_dir), name, path)
+        with scratch(spark, whole=True):
+            docs = saved(stage(spark, docs, sf_dir), name, path)
         if before:
             discard(spark, before)
         before = path
