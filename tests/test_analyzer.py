@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from tupelo import AnalysisError, Catalog, Engine, table
 from tupelo.builder import col, max_
+from tupelo.operators import joins
+from tupelo.plans.explain import pretty
+from tupelo.sources.ddl import TableStats, parse_det
 
 
 @pytest.fixture(scope="module")
@@ -126,3 +129,51 @@ def test_explain(engine):
     assert text.startswith("sort[A.s](project[A.s](join[A.id=B.id](A, filter[B.n>\"1\"](B))))\n")
     assert engine.explain("SELECT DISTINCT A.s FROM A,B").startswith("distinct[](project[A.s](product[](A, B)))\n")
     assert "Physical Plan" in text
+
+
+def test_estimates(engine):
+    c = Catalog(engine.spark)
+    for name in ("A", "B", "L"):
+        c.register(name, engine.catalog.table(name))
+    c.stats |= {"A": TableStats(1000, (100, 50, 10, 1000)), "B": TableStats(200, (200, 20, 4)), "L": TableStats(10, (10,))}
+    e = Engine(engine.spark, c)
+    line = lambda text: e.explain(text).split("\n")[1]
+    assert line('SELECT A.s FROM A WHERE A.id="1"') == "estimated rows: A 10; cost 10"
+    assert line('SELECT A.s FROM A WHERE A.id!="1",A.f<"1"') == "estimated rows: A 330; cost 330"
+    assert line("SELECT A.s FROM A,B WHERE A.id=B.id") == "estimated rows: A 1000; B 200, joined 1000; cost 2200"
+    # L and B make 10 rows before A comes, which is the largest.
+    text = e.explain("SELECT A.s FROM A,B,L WHERE A.id=B.id,B.n=L.k")
+    assert text.startswith("project[A.s](join[A.id=B.id](join[B.n=L.k](B, L), A))\n") or text.startswith("project[A.s](join[A.id=B.id](join[B.n=L.k](L, B), A))\n")
+    # A table without a tie comes last, whatever its size; without statistics bytes stand in.
+    assert "product[](" in e.explain("SELECT A.s FROM L,A,B WHERE A.id=B.id").split("\n")[0].replace("project[A.s](", "")[:10]
+    assert c.size("A").rows == 1000 and engine.catalog.size("A").rows >= 1
+    c.register("A", engine.catalog.table("A"))
+    assert "A" not in c.stats
+
+
+def test_order_of_joins_changes_no_result(engine):
+    from itertools import permutations
+
+    want = None
+    for names in permutations(["A", "B", "L", "R"]):
+        got = rows(engine, f"SELECT A.s,B.n,L.k,R.k FROM {','.join(names)} WHERE A.id=B.id,B.id=L.k,A.id<=R.k")
+        want = want or got
+        assert got == want and len(got) == 4
+
+
+def test_nested_pairs_only_below_a_product_of_sizes(engine):
+    left, right = engine.catalog.table("A"), engine.catalog.table("B")
+    product = joins.known_size(left) * joins.known_size(right)
+    plan = lambda df: df._jdf.queryExecution().logical().toString()
+    assert "shuffle_replicate_nl" in plan(joins.hinted(left, right, "nested", True, product=product)).lower()
+    assert "shuffle_replicate_nl" not in plan(joins.hinted(left, right, "nested", True, product=product - 1)).lower()
+
+
+def test_printers(engine):
+    schema = parse_det("T", "2\n8\na INTEGER 5 PK 4\nb STRING 5 NK 4\n").schema
+    assert pretty(schema) == "T.a int\nT.b string"
+    assert pretty(engine.catalog.table("L").schema) == "k int"
+    assert pretty([(1, None), ("x", 0.5)]) == "1\t-NULL-\nx\t0.5"
+    q = table("A").where("A.f", "<", 0.5).spec
+    assert pretty(q.where[0]) == 'A.f<"0.5"' and pretty(max_("A.f")) == "MAX(A.f)"
+    assert engine.show("SELECT A.id,A.s FROM A ORDERBY A.big DESC", 2) == "A.id, A.s\n-NULL-\t-NULL-\n2\ty"

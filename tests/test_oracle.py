@@ -44,5 +44,10 @@ def test_plans(spark):
     scan = plan_of(spark, "filter_int_eq")
     assert "PushedFilters: [IsNotNull(c_nationkey), EqualTo(c_nationkey,1)]" in scan
     assert "ReadSchema: struct<c_custkey:bigint,c_name:string,c_nationkey:int>" in scan
+    for name in ("join_4_range", "join_4_range_project", "join_4_order"):
+        # Read from the innermost join outwards, the filtered table comes before the largest one's other neighbours.
+        logical = SAMPLES[name].run(spark, SF)._jdf.queryExecution().analyzed().toString()
+        depth = {k: len(line) - len(line.lstrip(" :+-")) for line in logical.split("\n") for k in ("p_retailprice", "c_custkey") if f"Relation [{k[0]}_" in line}
+        assert depth["p_retailprice"] > depth["c_custkey"]
     assert "Join" in (composite := plan_of(spark, "join_composite")) and composite.count("Join ") == 1
     assert "PushedFilters: [IsNotNull(l_quantity), IsNotNull(l_linenumber)]" in plan_of(spark, "filter_col_col")

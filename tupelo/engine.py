@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .errors import AnalysisError, CatalogError
 from .plans.analyzer import Analyzed, analyze
-from .plans.explain import account, outline
+from .plans.estimate import TableSize
+from .plans.explain import account, estimated, outline, pretty
 from .plans.parser import parse
 from .plans.planner import named, output_names, plan
 from .plans.spec import QuerySpec
@@ -40,8 +41,15 @@ class Engine:
         q = self.analyze(query, methods)
         return named(self._plan(q), q, names or output_names(q))
 
+    def _sizes(self, q: Analyzed) -> dict[str, TableSize] | None:
+        """Sizes of the query's tables; none for streams, which have no size."""
+        if any(self.catalog.table(t).isStreaming for t in q.spec.tables):
+            return None
+        return {t: self.catalog.size(t) for t in q.spec.tables}
+
     def _plan(self, q: Analyzed) -> DataFrame:
-        return plan(q, {t: self.catalog.table(t) for t in q.spec.tables})
+        # Two tables join in either order; Catalyst picks the sides.
+        return plan(q, {t: self.catalog.table(t) for t in q.spec.tables}, self._sizes(q) if len(q.spec.tables) > 2 else None)
 
     def write(self, query: str | QuerySpec, path: str) -> float:
         """Runs a query into a result file whose header has full column names; returns the seconds."""
@@ -51,9 +59,15 @@ class Engine:
         return write_result(named(df, q, order), path, list(map(str, q.output)))
 
     def explain(self, query: str | QuerySpec, mode: str = "formatted") -> str:
-        """The plan in one line, then Catalyst's account of it."""
+        """The plan in one line, its estimated rows and cost, then Catalyst's account of it."""
+        q = self.analyze(query)
+        sizes = self._sizes(q)
+        return f"{outline(q, sizes)}\n{estimated(q, sizes)}\n\n{account(self._plan(q), mode)}"
+
+    def show(self, query: str | QuerySpec, rows: int = 20) -> str:
+        """The result's columns and its first rows, as pretty() prints them."""
         q = self.analyze(query)
-        return f"{outline(q)}\n\n{account(self._plan(q), mode)}"
+        return pretty([", ".join(map(str, q.output)), *self._plan(q).limit(rows).collect()])
 
     def run_file(self, query_path: str, result_path: str) -> float:
         return self.write(Path(query_path).read_text(), result_path)

@@ -2,7 +2,8 @@
 
 Without a method Catalyst and adaptive execution choose by size. A method asks for one:
 
-    nested        pairs of partitions, compared row by row
+    nested        pairs of partitions, compared row by row, if both sides are known to be small; else
+                  as without a method
     block_nested  the right side on every executor, if it is known to be small; else as sort_merge
     sort_merge    both sides shuffled and sorted on the keys
     hash          both sides shuffled on the keys, a hash table per partition
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 METHODS = ("nested", "block_nested", "sort_merge", "hash")
 #: A side is broadcast by request only up to this size, as Catalyst estimates it.
 BROADCAST_BYTES = 256 << 20
+#: Pairs of partitions are compared by request only up to this product of the sides' sizes: some 10 million pairs of rows.
+PRODUCT_BYTES = 1 << 36
 
 
 def known_size(df: DataFrame) -> int:
@@ -25,11 +28,11 @@ def known_size(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def hinted(right: DataFrame, method: str | None, equi: bool, most: int = BROADCAST_BYTES) -> DataFrame:
+def hinted(left: DataFrame, right: DataFrame, method: str | None, equi: bool, most: int = BROADCAST_BYTES, product: int = PRODUCT_BYTES) -> DataFrame:
     if method is None:
         return right
     if method == "nested":
-        return right.hint("shuffle_replicate_nl")
+        return right.hint("shuffle_replicate_nl") if known_size(left) * known_size(right) <= product else right
     if method == "block_nested" and known_size(right) <= most:
         return F.broadcast(right)
     if not equi:
@@ -44,7 +47,7 @@ def join(left: DataFrame, right: DataFrame, conditions: Sequence[Column], equi:
     on = conditions[0]
     for c in conditions[1:]:
         on = on & c
-    return left.join(hinted(right, method, equi), on, "inner")
+    return left.join(hinted(left, right, method, equi), on, "inner")
 
 
 def walk(tables: Sequence[str], edges: Sequence[frozenset[str]]) -> list[tuple[str, list[int]]]:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import aggregate
 from ..functions.literals import literal
-from ..operators.joins import join, walk
+from ..operators.joins import join
 from .analyzer import Analyzed
+from .estimate import TableSize, join_order
 from .spec import AggRef, ColRef, Literal, Predicate
 
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {"<": operator.lt, ">": operator.gt, "<=": operator.le, ">=": operator.ge, "=": operator.eq, "!=": operator.ne}
@@ -38,11 +39,11 @@ def scan(table: str, df: DataFrame, q: Analyzed) -> DataFrame:
     return out
 
 
-def source(q: Analyzed, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """The joined rows that the query's select list reads."""
+def source(q: Analyzed, tables: Mapping[str, DataFrame], sizes: Mapping[str, TableSize] | None = None) -> DataFrame:
+    """The joined rows that the query's select list reads, joined in the order that sizes suggest."""
     edges = [frozenset((p.left.table, p.right.table)) for p in q.edges]
     out = None
-    for table, own in walk(q.spec.tables, edges):
+    for table, own in join_order(q, sizes):
         right = scan(table, tables[table], q)
         if out is None:
             out = right
@@ -53,9 +54,9 @@ def source(q: Analyzed, tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def plan(q: Analyzed, tables: Mapping[str, DataFrame]) -> DataFrame:
+def plan(q: Analyzed, tables: Mapping[str, DataFrame], sizes: Mapping[str, TableSize] | None = None) -> DataFrame:
     """The result, its columns under their inside names: table.column or FN(table.column)."""
-    spec, out = q.spec, source(q, tables)
+    spec, out = q.spec, source(q, tables, sizes)
     order = [column(c).desc() if spec.descending else column(c).asc() for c in spec.order_by]
     hidden = any(c not in q.output for c in spec.order_by)
     if q.aggregates:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+# The dialect's comparators and aggregates.
 COMPARATORS = ("<", ">", "<=", ">=", "=", "!=")
 AGGREGATES = ("MAX", "MIN", "SUM", "COUNT", "AVG")
-MIRRORED = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "=": "=", "!=": "!="}
 
 
 @dataclass(frozen=True)
@@ -48,10 +48,6 @@ class Predicate:
     def __str__(self) -> str:
         return f"{self.left}{self.op}{self.right}"
 
-    def flipped(self) -> Predicate:
-        """The same comparison with its columns in the other order."""
-        return Predicate(self.right, MIRRORED[self.op], self.left)
-
 
 @dataclass(frozen=True)
 class QuerySpec:

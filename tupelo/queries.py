@@ -20,11 +20,16 @@ class Sample:
     text: str
     sql: str
     names: tuple[str, ...] = ()
+    #: Tables made from the driver's, by name: the table and SQL for its columns.
+    made: Mapping[str, tuple[str, tuple[str, ...]]] = field(default_factory=dict)
     methods: Mapping[tuple[str, str], str] = field(default_factory=dict)
     casts: Mapping[str, str] = field(default_factory=dict)
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        engine = Engine(spark, Catalog(spark).parquet_dir(sf_dir, *TABLES))
+        catalog = Catalog(spark).parquet_dir(sf_dir, *TABLES)
+        for name, (of, columns) in self.made.items():
+            catalog.register(name, catalog.table(of).selectExpr(*columns))
+        engine = Engine(spark, catalog)
         out = engine.query(self.text, self.methods, list(self.names) or None)
         return out.withColumns({c: out[c].cast(t) for c, t in self.casts.items()}) if self.casts else out
 
@@ -33,6 +38,9 @@ _FOUR = "FROM customer,orders,lineitem,part WHERE customer.c_custkey=orders.o_cu
 _FOUR_SQL = "FROM customer, orders, lineitem, part WHERE c_custkey = o_custkey AND o_orderkey = l_orderkey AND l_partkey = p_partkey"
 _RANGE = ',part.p_retailprice<"950",part.p_retailprice>"905"'
 _RANGE_SQL = " AND p_retailprice < 950 AND p_retailprice > 905"
+#: Prices as the dialect's own REAL, which has 32 bits.
+_REAL = {"price": ("part", ("p_partkey", "CAST(p_retailprice AS FLOAT) AS amount"))}
+_REAL_SQL = "SELECT p_partkey, CAST(CAST(p_retailprice AS REAL) AS DOUBLE) AS amount FROM part WHERE CAST(p_retailprice AS REAL)"
 _PAIR = "SELECT customer.c_custkey,customer.c_name,customer.c_nationkey,orders.o_orderkey,orders.o_orderstatus FROM customer,orders WHERE customer.c_custkey=orders.o_custkey"
 _PAIR_SQL = "SELECT c_custkey, c_name, c_nationkey, o_orderkey, o_orderstatus FROM customer, orders WHERE c_custkey = o_custkey"
 
@@ -45,6 +53,10 @@ SAMPLES: dict[str, Sample] = {
     "filter_string_ge": Sample('SELECT customer.c_custkey,customer.c_mktsegment FROM customer WHERE customer.c_mktsegment>="HOUSEHOLD"', "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment >= 'HOUSEHOLD'"),
     "filter_real_le": Sample('SELECT customer.c_custkey,customer.c_acctbal FROM customer WHERE customer.c_acctbal<="1000.5"', "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal <= 1000.5"),
     "filter_real_gt": Sample('SELECT supplier.s_suppkey,supplier.s_acctbal FROM supplier WHERE supplier.s_acctbal>"-10.25"', "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > -10.25"),
+    **{
+        f"filter_real32_{name}": Sample(f'SELECT price.p_partkey,price.amount FROM price WHERE price.amount{op}"{value}"', f"{_REAL_SQL} {sql} CAST({value} AS REAL)", made=_REAL, casts={"amount": "double"})
+        for name, op, sql, value in (("eq", "=", "=", "905.1"), ("ne", "!=", "<>", "905.1"), ("lt", "<", "<", "950.3"), ("le", "<=", "<=", "950.3"), ("gt", ">", ">", "1e3"), ("ge", ">=", ">=", "1000.1"))
+    },
     "filter_ne": Sample('SELECT orders.o_orderkey,orders.o_orderstatus FROM orders WHERE orders.o_orderstatus!="F"', "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'"),
     "filter_col_col": Sample("SELECT lineitem.l_orderkey,lineitem.l_linenumber,lineitem.l_quantity FROM lineitem WHERE lineitem.l_quantity=lineitem.l_linenumber", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity = l_linenumber"),
     "join_2": Sample(_PAIR, _PAIR_SQL),

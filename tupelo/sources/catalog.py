@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..errors import CatalogError
+from ..operators.joins import known_size
+from ..plans.estimate import TableSize
 from .ddl import TableStats, parse_stats, read_det
 from .text import load_text, read_text
 
@@ -18,17 +20,25 @@ class Catalog:
         self._tables: dict[str, DataFrame] = {}
         self._paths: dict[str, str] = {}
         self.stats: dict[str, TableStats] = {}
+        self._sizes: dict[str, TableSize] = {}
 
     def register(self, name: str, df: DataFrame) -> Catalog:
         self._tables[name] = df
+        self._forget(name)
         return self
 
     def parquet(self, name: str, path: str) -> Catalog:
         """A Parquet table; its footer is read when a query first names it."""
         self._paths[name] = path
         self._tables.pop(name, None)
+        self._forget(name)
         return self
 
+    def _forget(self, name: str) -> None:
+        """What was known of another table of that name."""
+        self.stats.pop(name, None)
+        self._sizes.pop(name, None)
+
     def parquet_dir(self, folder: str, *names: str) -> Catalog:
         """Tables <folder>/<name>.parquet; without names, all that a local folder holds."""
         for name in names or sorted(p.stem for p in Path(folder).glob("*.parquet")):
@@ -67,6 +77,15 @@ class Catalog:
             self._tables[name] = self.spark.read.parquet(self._paths[name])
         return self._tables[name]
 
+    def size(self, name: str) -> TableSize:
+        """By the table's statistics, or else by its bytes, as Catalyst bounds them, and the width of a row."""
+        df = self.table(name)
+        if name in self.stats:
+            return TableSize(self.stats[name].rows, dict(zip(df.columns, self.stats[name].distinct, strict=True)))
+        if name not in self._sizes:
+            self._sizes[name] = TableSize(max(1.0, known_size(df) / df._jdf.schema().defaultSize()))
+        return self._sizes[name]
+
     def analyze(self, name: str) -> TableStats:
         """Row count and distinct counts (approximate, in one pass) of a table; kept in stats."""
         from pyspark.sql import functions as F
