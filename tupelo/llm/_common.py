@@ -132,59 +132,78 @@ def salted(rows: DataFrame, ranks: int = 4096) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(ranks)).cast("int"))
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame | None:
-    """The keys that occur more than once, saved; None if none does."""
-    path = fresh_path(rows.sparkSession, "repeats", keep=True)
-    again = saved(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys), "repeats", path)
-    if not again.isEmpty():
-        return again
-    discard(rows.sparkSession, path)
-    return None
-
-
-def numbered_repeats(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows, a saved table with `salt`, with `nth` (long) in its place: the number of the row among
-    those alike in keys, from 0, in no particular order.
-
-    Rows of a key are counted by partial sums and numbered within each salt, however many they are.
-    Where no key occurs twice, which a count tells, rows aren't shuffled for it.
-    """
-    again = _repeated(rows, keys)
-    if again is None:
-        return rows.withColumn("nth", F.lit(0).cast("long")).drop("salt")
-    many = rows.join(again, keys, "left_semi")
+#: Rows alike in their keys that may wait for each other in one place; more are dealt out by salt.
+ALIKE = 1024
+
+
+def _repeats(rows: DataFrame, keys: list[str], keep: bool) -> tuple[int, DataFrame | None]:
+    """How often the most frequent key occurs, and the keys that occur more than ALIKE times, saved, if any do."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    most = counts.agg(F.max("_n")).first()[0] or 0
+    return most, saved(counts.where(F.col("_n") > ALIKE).select(*keys), "repeats", keep=keep) if most > ALIKE else None
+
+
+def _numbered(rows: DataFrame, keys: list[str], often: DataFrame | None) -> DataFrame:
+    columns = [*[c for c in rows.columns if c != "salt"], "nth"]
+    place = lambda *by: (F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0))) - 1).cast("long")
+    if often is None:
+        return rows.withColumn("nth", place(*keys)).select(*columns)
+    many, few = rows.join(often, keys, "left_semi"), rows.join(often, keys, "left_anti")
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     starts = many.groupBy(*keys, "salt").agg(F.count("*").alias("_n")).select(*keys, "salt", F.coalesce(before, F.lit(0)).alias("_start"))
-    nth = F.row_number().over(Window.partitionBy(*keys, "salt").orderBy(F.lit(0)))
-    many = many.withColumn("nth", nth).join(starts, [*keys, "salt"]).withColumn("nth", F.col("_start") + F.col("nth") - 1)
-    columns = [*[c for c in rows.columns if c != "salt"], "nth"]
-    once = rows.join(again, keys, "left_anti").withColumn("nth", F.lit(0).cast("long"))
-    return once.select(*columns).union(many.select(*columns))
+    many = many.withColumn("nth", place(*keys, "salt")).join(starts, [*keys, "salt"]).withColumn("nth", F.col("_start") + F.col("nth"))
+    return few.withColumn("nth", place(*keys)).select(*columns).union(many.select(*columns))
+
+
+def numbered_repeats(rows: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """rows, saved, with `nth` (long): the number of the row among those alike in keys, from 0, in no
+    particular order.
+
+    Rows of a key are counted by partial sums; where they are many, they are numbered within each
+    salt, however many they are.
+    """
+    spark = rows.sparkSession
+    path = fresh_path(spark, what, keep=True)
+    rows = saved(salted(rows), what, path)
+    with scratch(spark):
+        most, often = _repeats(rows, keys, keep=False)
+        if most <= 1:
+            return rows.withColumn("nth", F.lit(0).cast("long")).drop("salt")
+        out = saved(_numbered(rows, keys, often), what, keep=True)
+    discard(spark, path)
+    return out
 
 
 def paired(docs: DataFrame, found: DataFrame, doc_id: str, text: str, values: dict[str, str]) -> DataFrame:
     """docs with columns of found, which has doc_id, g1 and g2 (see text_keys) and a row for each row of docs.
 
     values: new column names (ones that docs doesn't have) by found's. Rows of one id and text are
-    interchangeable. The texts are shuffled once, for the join. Where an id and text occur more than
-    once, those rows are written, numbered on either side and joined on their numbers too, so that
-    none of them waits for the others in one place.
+    interchangeable and get found's rows in some order. The texts are shuffled once, for the join;
+    the numbering of such rows needs no other partitioning. Where an id and text occur more than
+    ALIKE times, those rows are written, numbered on either side and joined on their numbers too, so
+    that none of them waits for the others in one place.
     """
     keys = [free_name(docs, f"_pair{k}", *values.values()) for k in ("i", "n", "g1", "g2")]
-    held = free_name(docs, "_pairheld", *values.values())
+    held, at = free_name(docs, "_pairheld", *values.values()), free_name(docs, "_pairat", *values.values())
     plan = found.select(*[c.alias(k) for c, k in zip((*id_keys(F.col("doc_id")), F.col("g1"), F.col("g2")), keys, strict=True)], F.struct(*values).alias(held))
     plan = saved(salted(plan), "plan", keep=True)
     own = (*id_keys(F.col(f"`{doc_id}`")), *text_keys(F.col(f"`{text}`")).values())
     own = docs.withColumns(dict(zip(keys, own, strict=True)))
-    back = [*[F.col(f"`{c}`") for c in docs.columns], *[F.col(held)[k].alias(v) for k, v in values.items()]]
-    again = _repeated(plan, keys)
-    if again is None:
-        return own.join(plan.drop("salt"), keys).select(*back)
+    back = [F.col(f"`{c}`") for c in docs.columns]
+    more = lambda c: [c[k].alias(v) for k, v in values.items()]
+    most, often = _repeats(plan, keys, keep=True)
+    few = own if often is None else own.join(often, keys, "left_anti")
+    if most <= 1:
+        return few.join(plan.drop("salt"), keys).select(*back, *more(F.col(held)))
+    lists = (plan if often is None else plan.join(often, keys, "left_anti")).groupBy(*keys).agg(F.collect_list(held).alias(held))  # ALIKE at most in each
+    few = few.join(lists, keys).withColumn(at, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+    few = few.select(*back, *more(F.element_at(F.col(held), F.col(at))))
+    if often is None:
+        return few
     # Under names of their own, so that the documents' columns can't be taken for the salt or the number.
     plain = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
-    many = own.join(again, keys, "left_semi").select(*keys, *[F.col(f"`{c}`").alias(k) for c, k in plain.items()])
-    many = numbered_repeats(saved(salted(many), "repeated", keep=True), keys)
-    told = numbered_repeats(plan.join(again, keys, "left_semi"), keys)
-    many = many.join(told, [*keys, "nth"]).select(*[F.col(k).alias(c) for c, k in plain.items()], *back[len(plain) :])
-    once = own.join(again, keys, "left_anti").join(plan.drop("salt"), keys).select(*back)
-    return once.union(many)
+    many = own.join(often, keys, "left_semi").select(*keys, *[F.col(f"`{c}`").alias(k) for c, k in plain.items()])
+    many = _numbered(saved(salted(many), "repeated", keep=True), keys, often)
+    told = plan.join(often, keys, "left_semi")
+    many = many.join(_numbered(told, keys, often), [*keys, "nth"])
+    return few.union(many.select(*[F.col(k).alias(c) for c, k in plain.items()], *more(F.col(held))))

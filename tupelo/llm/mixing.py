@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import free_name, id_keys, numbered_repeats, own_columns, paired, salted, saved, scratch, ship, text_keys
+from ._common import free_name, id_keys, numbered_repeats, own_columns, paired, saved, scratch, ship, text_keys
 from .textvec import pieces
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,7 +78,7 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     base = own_columns(docs, doc_id, text, source).toDF("doc_id", "text", "source")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     alike = dict(zip(("_id", "_none", "_from", "_nowhere"), (*id_keys(F.col("doc_id")), *id_keys(F.col("source"))), strict=True)) | text_keys(F.col("text"))
-    rows = saved(salted(base.select("doc_id", "source", size.alias("size"), *[c.alias(k) for k, c in alike.items()])), "sizes", keep=True)
+    rows = numbered_repeats(base.select("doc_id", "source", size.alias("size"), *[c.alias(k) for k, c in alike.items()]), [*alike], "sizes")
     found = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(most_sources + 1).collect()
     if len(found) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
@@ -93,7 +93,7 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     sources = F.broadcast(sources)  # at most most_sources rows
 
     shard = F.pmod(F.xxhash64("doc_id", "g1", "nth", F.lit(seed)), F.col("shards"))
-    dealt = numbered_repeats(rows, [*alike]).join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", shard)
+    dealt = rows.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", shard)
 
     def quotas(cells: pd.DataFrame, of: str) -> pd.DataFrame:
         cells = cells.sort_values(of, ignore_index=True)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import free_name, id_keys, numbered_repeats, own_columns, paired, salted, saved, scratch, ship, text_keys
+from ._common import free_name, id_keys, numbered_repeats, own_columns, paired, saved, scratch, ship, text_keys
 
 WORD = r"[^\x20\x09-\x0D]+"
 SIZES = ("size", "tokens", "rows")
@@ -41,7 +41,8 @@ def place(vectors: np.ndarray, shards: int, room: np.ndarray | None = None, firs
     unit, left = vectors / mean, np.roll(room / mean, -first, axis=0)
     out = np.zeros(len(vectors), np.int64)
     for k in np.lexsort((np.arange(len(unit)), -unit.max(1))):
-        out[k] = (left @ (WEIGHT * unit[k])).argmax()
+        # Rounded, so that a tie is one whatever the order of the sums.
+        out[k] = np.round(left @ (WEIGHT * unit[k]), 9).argmax()
         left[out[k]] -= unit[k]
     return (out + first) % shards
 
@@ -70,8 +71,8 @@ def assign(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str
     ship(spark)
     key = ["g1", "g2"]
     with scratch(spark):
-        rows = saved(salted(measured(docs, doc_id, text).withColumns(dict(zip(("_id", "_none"), id_keys(F.col("doc_id")), strict=True)))), "sizes", keep=True)
-        rows = numbered_repeats(rows, ["_id", "_none", *key])
+        rows = measured(docs, doc_id, text).withColumns(dict(zip(("_id", "_none"), id_keys(F.col("doc_id")), strict=True)))
+        rows = numbered_repeats(rows, ["_id", "_none", *key], "sizes")
         sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
         groups = saved(rows.groupBy(*key).agg(*sums), "groups")
         total = groups.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SIZES], F.count("*").alias("groups")).first()
