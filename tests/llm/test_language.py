@@ -1,7 +1,9 @@
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -49,3 +51,34 @@ def test_held_out_accuracy_and_edges(spark):
     assert language.identify(odd.limit(0), model).count() == 0
     assert docs.select(F.sum(language.held_out().cast("int"))).first()[0] > 0
     assert np.isfinite(model.rows).all()
+
+
+def test_posteriors_match_counts_in_dictionaries(spark):
+    texts = [(1, "the cat sat on the mat", "en"), (2, "a dog and the cat", "en"), (3, "le chat est là", "fr"), (4, "der Hund und die Katze", "de"), (5, "the end", "en"), (6, None, "fr"), (7, "x", None)]
+    buckets = 1 << 16
+    model = language.train(spark.createDataFrame(texts, "doc_id long, text string, lang string"), buckets=buckets)
+    assert model.languages == ("de", "en", "fr")
+
+    def grams(text):
+        t = next(pieces(pa.array([text])))[2]
+        return [b for bucket, _ in language.ngrams(t, 3, buckets) for b in bucket.tolist()]
+
+    used = [(t, k) for _, t, k in texts if t is not None and k is not None]
+    for asked in ("the cat", "le chien", "die Katze ist da", "q"):
+        logs = []
+        for k in model.languages:
+            seen = [b for t, lang in used if lang == k for b in grams(t)]
+            counts = {b: seen.count(b) for b in set(seen)}
+            share = sum(lang == k for _, lang in used) / len(used)
+            logs.append(math.log(share) + sum(math.log((counts.get(b, 0) + 0.5) / (len(seen) + 0.5 * buckets)) for b in grams(asked)))
+        best = max(range(3), key=lambda i: logs[i])
+        got, score = model.predict(next(pieces(pa.array([asked])))[2])
+        assert got[0] == best
+        assert abs(score[0] - 1 / sum(math.exp(x - logs[best]) for x in logs)) < 1e-4
+
+
+def test_too_many_languages_raise(spark):
+    rows = spark.createDataFrame([(i, "text", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    assert len(language.train(rows, most_languages=4).languages) == 4
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language.train(rows, most_languages=3)

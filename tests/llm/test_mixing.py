@@ -2,9 +2,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tupelo.llm import _common
 from tupelo.llm import mixing as m
 
 
@@ -75,3 +78,85 @@ def test_mix(spark, shard_tokens):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert m.plan(df).count() == 0 and m.mixed(df).count() == 0
+
+
+def slow_targets(sizes, weights, ratio, most):
+    """The level at which weights times it, none over most times its size, add up to ratio times all."""
+    goal = min(ratio, most) * sum(sizes)
+    low, high = 0.0, 2.0 * most * max(sizes)
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(mid * w, most * n) for w, n in zip(weights, sizes)) < goal else (low, mid)
+    return [min(high * w, most * n) for w, n in zip(weights, sizes)]
+
+
+@pytest.mark.parametrize("fan", [2, 4096])
+def test_taken_words_match_a_plain_apportionment(spark, fan):
+    """Every document's count, from words in lists; only the hashes that deal and order them are Spark's."""
+    r = random.Random(12)
+    block, shard_tokens, seed = 4, 60, 17
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(r.randrange(0, 25))), r.choice("aabc")) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = m.plan(df, block=block, shard_tokens=shard_tokens, seed=seed, fan=fan)
+    got = {x.doc_id: x.taken for x in plan.collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    names = sorted({s for _, _, s in rows})
+    sizes = [sum(size[i] for i, _, s in rows if s == n) for n in names]
+    goal = slow_targets(sizes, (5, 2, 1), 1.5, 2)
+    quota = slow_seats(goal, round(sum(goal) / block), [2 * -(-n // block) for n in sizes])
+    want = {}
+    for k, name in enumerate(names):
+        shards = max(1, -(-sizes[k] // shard_tokens))
+        own = df.where(F.col("source") == name).withColumns({"g1": F.xxhash64("text"), "nth": F.lit(0).cast("long"), "s": F.lit(k)})
+        own = own.withColumn("shard", F.pmod(F.xxhash64("doc_id", "g1", "nth", F.lit(seed)), F.lit(shards).cast("long")))
+        own = own.withColumn("at", F.xxhash64("g1", "doc_id", "nth", F.lit(seed + 1))).withColumn("turn", F.xxhash64("s", "shard", F.lit(seed + 2)))
+        dealt = defaultdict(list)
+        for x in own.collect():
+            dealt[x.shard].append(x)
+        n = {c: -(-sum(size[x.doc_id] for x in xs) // block) for c, xs in dealt.items()}
+        tokens = {c: sum(size[x.doc_id] for x in xs) for c, xs in dealt.items()}
+        runs = sorted({c // fan for c in dealt})
+        of = {g: [c for c in sorted(dealt) if c // fan == g] for g in runs}
+        per_run = slow_seats([sum(tokens[c] for c in of[g]) for g in runs], quota[k], [2 * sum(n[c] for c in of[g]) for g in runs])
+        for g, seats in zip(runs, per_run):
+            for c, q in zip(of[g], slow_seats([tokens[c] for c in of[g]], seats, [2 * n[c] for c in of[g]])):
+                xs = sorted(dealt[c], key=lambda x: (x.at, x.doc_id))
+                words = [x.doc_id for x in xs for _ in range(size[x.doc_id])]
+                taken = Counter()
+                for b in range(n[c]):
+                    times = q // n[c] + ((b - xs[0].turn % n[c]) % n[c] < q % n[c])
+                    for w in words[b * block : (b + 1) * block]:
+                        taken[w] += times
+                want |= {x.doc_id: taken[x.doc_id] for x in xs}
+    assert got == want
+
+
+def test_sizes_match_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.sql(
+        r"""
+        SELECT doc_id, n AS size, CAST(sum(n) OVER (PARTITION BY source) AS BIGINT) AS source_size
+        FROM (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents) ORDER BY doc_id
+        """
+    ).fetchall()
+    from tupelo.llm import queries
+
+    assert [tuple(r) for r in queries.op3_mixing(spark, sf).select("doc_id", "size", "source_size").orderBy("doc_id").collect()] == want
+
+
+@pytest.mark.parametrize("alike", [1024, 50])
+def test_repeated_rows_and_too_many_sources(spark, monkeypatch, alike):
+    monkeypatch.setattr(_common, "ALIKE", alike)
+    rows = [(None, "one two three", "s")] * 400 + [(i, f"own words {i}", "s") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    plan = m.plan(df, shard_tokens=60, block=1)
+    assert plan.groupBy("doc_id", "g1", "nth").count().where("count > 1").count() == 0
+    got = plan.agg(F.count("*"), F.sum("taken"), F.max("taken")).first()
+    assert got[0] == 600 and abs(got[1] - 1.5 * 1800) <= 1 and got[2] <= 6
+    taken = m.mixed(df, shard_tokens=60, block=1)
+    assert taken.columns == df.columns
+    assert sum(len(x.text.split()) for x in taken.collect()) == got[1]
+    with pytest.raises(ValueError, match="more than 2 sources"):
+        m.plan(spark.createDataFrame([(i, "x", f"s{i}") for i in range(3)], "doc_id long, text string, source string"), most_sources=2)

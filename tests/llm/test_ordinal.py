@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tupelo.llm import ordinal as o
 from tupelo.llm.textvec import pieces
@@ -77,3 +78,51 @@ def test_words_of_a_rare_kind_of_text_keep_their_weight():
         own = ~learn & (lang == k)
         cut = np.quantile(tail[own & (y == 1)], 0.05)
         assert (tail[own & (y == 0)] < cut).mean() > 0.8, k
+
+
+def plain_loss(weights, cuts, texts, grades, scale, decay):
+    """Mean negative log-likelihood and penalty, text by text."""
+    logistic = lambda z: 1 / (1 + np.exp(-z))
+    total = 0.0
+    for features, y in zip(texts, grades):
+        z = sum(v * weights[b] for b, v in features)
+        below = [0.0, *[logistic(c - z) for c in cuts], 1.0]
+        total -= np.log(below[y + 1] - below[y])
+    return total / len(texts) + decay / 2 * sum((w / s) ** 2 for w, s in zip(weights, scale) if s > 0)
+
+
+def test_fit_is_where_the_plain_likelihood_is_greatest():
+    """Along each weight and threshold the loss, written out in loops, rises to either side."""
+    r = np.random.default_rng(3)
+    texts = [[(int(b), float(v)) for b, v in zip(r.choice(4, r.integers(1, 4), replace=False), r.uniform(1, 2, 4))] for _ in range(60)]
+    grades = np.array([min(2, max(0, int(round(sum(v * (1, -1, 0.5, 0)[b] for b, v in t) + r.logistic(scale=0.5) + 0.5)))) for t in texts])
+    bucket = np.array([b for t in texts for b, _ in t])
+    value = np.array([v for t in texts for _, v in t])
+    before = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    scale = o.evidence(bucket, o.owner(before), grades, 4, 1.0)
+    w, cuts = o.fit(bucket, value, before, grades, 2, 4, rounds=4000, rate=0.02, decay=1e-3, chance=1.0)
+    assert cuts[0] < cuts[1]
+    best = plain_loss(w, cuts, texts, grades, scale, 1e-3)
+    for k in range(4):
+        if scale[k] > 1e-6:
+            for step in (-0.02, 0.02):
+                other = w.copy()
+                other[k] += step * scale[k]
+                assert plain_loss(other, cuts, texts, grades, scale, 1e-3) > best - 1e-6
+    for k in range(2):
+        for step in (-0.02, 0.02):
+            other = cuts.copy()
+            other[k] += step
+            assert plain_loss(w, other, texts, grades, scale, 1e-3) > best - 1e-6
+
+
+def test_train_takes_a_document_once_and_bounds_the_grades(spark):
+    rows = [(i, f"{'fine' if i % 2 else 'foul'} words {i % 7}") for i in range(80)]
+    ratings = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, grade int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = spark.createDataFrame(rows + [rows[3]] * 500 + [rows[4]] * 300, "doc_id long, text string").selectExpr("*", "'x' as _doc", "1 as h").repartition(3)
+    a, b = o.train(once, ratings), o.train(often, ratings)
+    assert np.array_equal(a.weights, b.weights) and np.array_equal(a.thresholds, b.thresholds) and a.cut == b.cut
+    assert o.train(once.limit(0), ratings) is None and o.train(once, ratings.limit(0)) is None
+    with pytest.raises(ValueError, match="more than 1 grades"):
+        o.train(once, ratings, most_grades=1)

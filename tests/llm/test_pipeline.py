@@ -1,9 +1,12 @@
+import random
 import re
 import sys
 from collections import Counter, defaultdict
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -13,7 +16,8 @@ from test_quality_rules import slow as slow_stats  # noqa: E402
 from test_simhash import slow_components, slow_print  # noqa: E402
 
 import corpus_pipeline as c  # noqa: E402
-from tupelo.llm import quality_rules  # noqa: E402
+from tupelo.llm import _common, quality_rules  # noqa: E402
+from tupelo.llm._common import paired, text_keys  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 words = lambda t: len(re.findall(r"[^\x20\x09-\x0d]+", t or ""))
@@ -80,3 +84,64 @@ def test_stages_keep_odd_columns_and_empty_tables(spark):
     for name, stage in c.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0 and out.columns[: len(docs.columns)] == docs.columns
+
+
+def test_stages_take_nulls_repeats_long_texts_and_clashing_names(spark):
+    """All stages in turn, over rows with a null in every column, a row that makes up a third, and a very long text."""
+    r = random.Random(7)
+    plain = lambda n: " ".join(r.choice(["river", "stone", "über", "la", "of", "walk"]) + str(r.randrange(9999)) for _ in range(n))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(i, plain(r.randint(60, 200)), "en", r.choice(["a", "b", None]), 1) for i in range(60)]
+    copied = plain(80)
+    rows += [(None, copied, None, "a", None)] * 40
+    rows += [(100, None, "en", "b", 2), (101, "", None, "b", None), (102, plain(60_000), None, None, 3), (103, f"{plain(60)} {item} {plain(60)}", "en", "a", 4), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as shard", "'x' as salt", "2 as nth", "3 as fingerprint", "4 as root", "5 as _own0", "6 as h").repartition(4)
+    names = docs.columns
+    seen = []
+    for name, stage in c.STAGES:
+        docs = c.saved(stage(spark, docs, SF), "odd")
+        assert docs.columns[: len(names)] == names
+        seen.append(docs.collect())
+    good, single, clean, mixed, shards = seen
+    assert sorted(str(x.doc_id) for x in good) == sorted([*map(str, range(60)), *["None"] * 40, "102", "103"])
+    assert sorted(str(x.doc_id) for x in single) == sorted([*map(str, range(60)), "None", "102", "103"])
+    assert sorted(str(x.doc_id) for x in clean) == sorted([*map(str, range(60)), "None", "102"])
+    total = sum(words(x.text) for x in clean)
+    assert {x.doc_id for x in mixed} <= {x.doc_id for x in clean} and abs(sum(words(x.text) for x in mixed) - 1.5 * total) < 0.2 * total
+    assert sorted(tuple(x)[: len(names)] for x in shards if x.doc_id is not None) == sorted(map(tuple, (x for x in mixed if x.doc_id is not None)))
+    by = defaultdict(list)
+    for x in shards:
+        by[x._shard].append(x.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert all(x.shard == 1 and x.salt == "x" and x.nth == 2 and x.h == 6 for x in shards)
+
+
+@pytest.mark.parametrize("alike", [1024, 45, 20])
+def test_rows_of_one_id_and_text_are_paired_one_to_one(spark, monkeypatch, alike):
+    monkeypatch.setattr(_common, "ALIKE", alike)
+    docs = spark.createDataFrame([(None, None, k) for k in range(500)] + [(3, "t", k) for k in range(40)] + [(k, "x", k) for k in range(50, 60)], "doc_id long, text string, nth int").repartition(6)
+    found = docs.selectExpr("doc_id", "text", "nth as value").withColumns(text_keys(F.col("text"))).repartition(3)
+    out = paired(docs, found, "doc_id", "text", {"value": "got"}).collect()
+    assert len(out) == 550 and out[0].asDict().keys() == {"doc_id", "text", "nth", "got"}
+    for key in ((None, None), (3, "t")):
+        own = [x for x in out if (x.doc_id, x.text) == key]
+        assert sorted(x.nth for x in own) == sorted(x.got for x in own) == list(range(len(own)))
+    assert all(x.nth == x.got for x in out if x.text == "x")
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    assert _common.one_machine(spark)
+    for master, one in (("local", True), ("local[4]", True), ("local[*]", True), ("local-cluster[2,1,1024]", False), ("yarn", False), ("spark://h:7077", False)):
+        sc = SimpleNamespace(master=master, getConf=lambda: {}, getCheckpointDir=lambda: None)
+        fake = SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None))
+        assert _common.one_machine(fake) == one
+        if not one:
+            with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+                _common.shared_dir(fake)
+
+
+def test_run_leaves_its_last_table_alone(spark):
+    folder = Path(_common.shared_dir(spark).removeprefix("file://"))
+    before = {x.name for x in folder.iterdir()}
+    c.run(spark, SF)
+    assert [x.name.split("-")[1:3] for x in folder.iterdir() if x.name not in before] == [["stage", "shard"]]

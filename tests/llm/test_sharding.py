@@ -1,8 +1,12 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from tupelo.llm import _common
 from tupelo.llm import sharding as s
 
 
@@ -73,3 +77,91 @@ def test_pieces_are_counted_and_rows_of_one_id_are_dealt(spark):
         again = s.assign(df.repartition(7), shards=40).toPandas()
         key = ["doc_id", "text_crc32", "shard", "slot"]
         assert got[key].sort_values(key, ignore_index=True).equals(again[key].sort_values(key, ignore_index=True))
+
+
+def slow_place(vectors, shards, room, first):
+    """Item by item, shard by shard, in plain numbers."""
+    mean = [sum(r[d] for r in room) / shards for d in range(3)]
+    left = [[r[d] / mean[d] for d in range(3)] for r in room]
+    unit = [[v[d] / mean[d] for d in range(3)] for v in vectors]
+    out = [None] * len(vectors)
+    for k in sorted(range(len(vectors)), key=lambda k: (-max(unit[k]), k)):
+        best, where = None, None
+        for j in [*range(first, shards), *range(first)]:
+            dot = round(sum(w * a * b for w, a, b in zip((32, 1, 1), unit[k], left[j])), 9)
+            if best is None or dot > best:
+                best, where = dot, j
+        out[k] = where
+        left[where] = [a - b for a, b in zip(left[where], unit[k])]
+    return out
+
+
+def test_place_matches_a_plain_loop():
+    rng = np.random.default_rng(2)
+    for shards, first in ((3, 0), (7, 4)):
+        v = np.stack([rng.integers(16, 5000, 60), rng.integers(0, 800, 60), rng.integers(1, 9, 60)], axis=1).astype(float)
+        room = np.repeat(v.sum(0, keepdims=True) / shards, shards, axis=0) * rng.uniform(0.5, 1.5, (shards, 1))
+        assert s.place(v, shards, room, first).tolist() == slow_place(v.tolist(), shards, room.tolist(), first)
+    assert s.place(v, 7).tolist() == slow_place(v.tolist(), 7, [list(v.sum(0) / 7)] * 7, 0)
+
+
+def test_all_groups_are_placed_by_the_plain_loop(spark):
+    """The whole assignment of a table whose groups are all light but two, cell by cell."""
+    r = random.Random(3)
+    rows = [(i, f"w{i} " * r.randint(1, 30)) for i in range(400)] + [(1000 + i, "twin " * 40) for i in range(30)] + [(2000 + i, "other " * 30) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.g1, x.g2): x.shard for x in s.assign(df, shards=4, parts=8, cell=64).collect()}
+    groups = {}
+    for x in s.measured(df).collect():
+        g = groups.setdefault((x.g1, x.g2), [0, 0, 0])
+        g[0] += x["size"]
+        g[1] += x.tokens
+        g[2] += 1
+    total = [sum(g[d] for g in groups.values()) for d in range(3)]
+    heavy = sorted(k for k, g in groups.items() if max(g[d] * 32 / total[d] for d in range(3)) > 1)
+    assert 2 <= len(heavy) < 12
+    room = [[t / 4 for t in total] for _ in range(4)]
+    want = dict(zip(heavy, slow_place([groups[k] for k in heavy], 4, room, 0)))
+    for k in heavy:
+        room[want[k]] = [a - b for a, b in zip(room[want[k]], groups[k])]
+    room = [[max(0, x) for x in row] for row in room]
+    light = sorted(set(groups) - set(heavy))
+    cells = -(-len(light) // 64)
+    keyed = spark.createDataFrame(light, "g1 long, g2 long").select("g1", "g2", F.pmod(F.xxhash64("g1", "g2", F.lit(2)), F.lit(cells)).alias("cell"))
+    by = {}
+    for x in keyed.collect():
+        by.setdefault(x.cell, []).append((x.g1, x.g2))
+    for cell, keys in by.items():
+        keys.sort()
+        sums = [sum(groups[k][d] for k in keys) / sum(row[d] for row in room) for d in range(3)]
+        want |= dict(zip(keys, slow_place([groups[k] for k in keys], 4, [[a * b for a, b in zip(row, sums)] for row in room], cell % 4)))
+    assert got == want
+
+
+@pytest.mark.parametrize("distinct,copies", [(1000, 1000), (2000, 2000), (1700, 860), (1690, 860)])
+def test_small_tables_with_a_large_group_are_as_even_as_large_ones(spark, distinct, copies):
+    r = random.Random(1)
+    rows = [(i, "word%d " % r.randrange(10**6) * r.randint(5, 12)) for i in range(distinct)] + [(10**6 + i, "one text of many rows " * 3) for i in range(copies)]
+    per = s.assign(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).toPandas().groupby("shard")["size"].sum()
+    assert len(per) == 40 and per.max() / per.mean() < 1.05 and per.min() / per.mean() > 0.95
+
+
+@pytest.mark.parametrize("alike", [1024, 50])
+def test_one_row_many_times(spark, monkeypatch, alike):
+    monkeypatch.setattr(_common, "ALIKE", alike)
+    df = spark.createDataFrame([(5, "same")] * 300 + [(None, None)] * 300 + [(i, f"t{i}") for i in range(300)], "doc_id long, text string").repartition(4)
+    out = s.sharded(df, shards=6)
+    assert out.count() == 900 and out.select("shard", "slot").distinct().count() == 900
+    per = out.groupBy("shard").agg({"slot": "max", "*": "count"}).collect()
+    assert len(per) == 6 and all(x["max(slot)"] + 1 == x["count(1)"] for x in per)
+
+
+def test_sizes_match_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.sql("SELECT doc_id, CAST(coalesce(strlen(text), 0) + 16 AS BIGINT) AS size FROM documents ORDER BY doc_id").fetchall()
+    from tupelo.llm import queries
+
+    got = queries.op6_sharding(spark, sf)
+    assert [tuple(r) for r in got.select("doc_id", "size").orderBy("doc_id").collect()] == want
