@@ -126,3 +126,33 @@ def test_train_takes_a_document_once_and_bounds_the_grades(spark):
     assert o.train(once.limit(0), ratings) is None and o.train(once, ratings.limit(0)) is None
     with pytest.raises(ValueError, match="more than 1 grades"):
         o.train(once, ratings, most_grades=1)
+
+
+def test_stems_are_the_first_bytes_of_words():
+    t = next(pieces(pa.array(["vequais vequée vequ", None, "x"])))[2]
+    plain, _, before = o.features(t, 1 << 40)
+    bucket, value, after = o.features(t, 1 << 40, (4,))
+    assert set(plain[: before[1]]) < set(bucket[: after[1]]) and after.tolist() == [0, before[1] + 1, before[1] + 1, len(bucket)]
+    assert value[np.isin(bucket, plain, invert=True)].tolist() == [2.0, 1.0]  # vequ three times, x once
+
+
+def test_faults_are_found_in_long_texts_and_short_texts_without_any_are_kept():
+    """Held-out rows. A fault is any of many words of one stem; ordinary words abound in long texts of either kind."""
+    r = random.Random(2)
+    rows = []
+    for _ in range(2400):
+        own = [f"word{r.randrange(300)}" for _ in range(r.choice([4, 40, 400]))]
+        y = r.choice([0, 1, 2, 2, 2, 2])
+        if y == 0:
+            own = [w + "###" for w in own if r.random() < 0.5] or ["###"]
+        if y == 1:
+            own[2:2] = [f"vile{r.randrange(2000)}" for _ in range(3)]
+        rows.append((" ".join(own), y))
+    t = next(pieces(pa.array([x[0] for x in rows]), 1 << 30))[2]
+    bucket, value, before = o.features(t, 1 << 20, (4, 5))
+    y, n = np.array([x[1] for x in rows]), before[1600]
+    w, cuts = o.fit(bucket[:n].astype(int), value[:n], before[:1601], y[:1600], 2, 1 << 20, faults=True)
+    assert w.max() <= 0 and cuts[0] < cuts[1]
+    tail = o.Model(w, cuts, 0).tails(np.add.reduceat(w[bucket.astype(int)] * value, before[:-1]))[1600:, 1]
+    cut = np.quantile(tail[y[1600:] == 2], 0.01)
+    assert (tail[y[1600:] == 1] < cut).mean() > 0.95 and (tail[y[1600:] == 0] < cut).mean() > 0.95

@@ -2,10 +2,13 @@
 
 A document's grade y is one of 0 .. K. One weight per hashed feature is shared by all grades, and
 ordered thresholds part them: P(y <= k) = logistic(threshold k - weights . x). Features are each
-word (A-Z in lower case) and its last three bytes, hashed into `buckets`; a feature's value is
-log2(1 + count), at most 2, so that one strong word shows even in a long text. None is cut: the
-less a feature goes with the grade in the training texts, the smaller it is scaled, so that the
-penalty holds its weight down, but words of a rare kind of text keep what they tell.
+word (A-Z in lower case), its last three bytes and its first `stems`, hashed into `buckets`; a
+feature's value is log2(1 + count), at most 2, so that one strong word shows even in a long text.
+None is cut: the less a feature goes with the grade in the training texts, the smaller it is scaled,
+so that the penalty holds its weight down, but words of a rare kind of text keep what they tell.
+
+Where lower grades mean faults (`faults`), no weight is positive: otherwise ordinary words speak
+for a text, and a long text with a grave fault outweighs a short one without any.
 
 From the probabilities of the grades come the expected grade and the tail probability of reaching
 the best one, by which documents are selected. The cut is calibrated on graded rows that the fit
@@ -27,16 +30,16 @@ from .quality_rules import calibrate
 from .textvec import LOWER, U64, Texts, mix, ngram_sums, owner, pieces
 
 
-def features(t: Texts, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and value of every feature, and how many come before each text."""
+def features(t: Texts, buckets: int, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket and value of every feature, and how many come before each text; stems: sizes in bytes."""
     data = LOWER[t.data]
     prefix = t.prefix(data)
     start, end, before = t.words()
-    word = t.spans(prefix, start, end, data)
-    tail = mix(t.spans(prefix, np.maximum(start, end - 3), end, data) + U64(1))
-    bucket = np.concatenate([word, tail]) & U64(buckets - 1)
-    of = owner(before)
-    key, count = np.unique(np.concatenate([of, of]).astype(np.int64) * buckets + bucket.astype(np.int64), return_counts=True)
+    found = [t.spans(prefix, start, end, data), mix(t.spans(prefix, np.maximum(start, end - 3), end, data) + U64(1))]
+    found += [mix(t.spans(prefix, start, np.minimum(end, start + k), data) + U64(100 + k)) for k in stems]
+    bucket = np.concatenate(found) & U64(buckets - 1)
+    of = np.tile(owner(before), len(found))
+    key, count = np.unique(of.astype(np.int64) * buckets + bucket.astype(np.int64), return_counts=True)
     text, bucket = key // buckets, key % buckets
     return bucket, np.minimum(np.log2(1 + count), 2.0), np.searchsorted(text, np.arange(len(t) + 1))
 
@@ -62,6 +65,7 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
     cut: float
+    stems: tuple[int, ...] = ()
 
     def tails(self, at: np.ndarray) -> np.ndarray:
         """P(y >= k) for k = 1 .. K, one column each, of texts whose weights sum up to `at`."""
@@ -69,13 +73,14 @@ class Model:
 
     def score(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The expected grade and the probability of the best one."""
-        bucket, value, before = features(t, len(self.weights))
+        bucket, value, before = features(t, len(self.weights), self.stems)
         tails = self.tails(ngram_sums(self.weights[bucket] * value, before))
         return tails.sum(1), tails[:, -1]
 
 
-def fit(bucket: np.ndarray, value: np.ndarray, before: np.ndarray, grade: np.ndarray, top: int, buckets: int, rounds: int = 150, rate: float = 0.1, decay: float = 3e-5, chance: float = 30.0) -> tuple[np.ndarray, np.ndarray]:
+def fit(bucket: np.ndarray, value: np.ndarray, before: np.ndarray, grade: np.ndarray, top: int, buckets: int, rounds: int = 150, rate: float = 0.1, decay: float = 1e-4, chance: float = 30.0, faults: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of greatest likelihood with a small penalty on scaled weights, by Adam over all rows.
+    With `faults` among weights that aren't positive.
 
     Thresholds are the first one and positive steps from it, so that they stay in order.
     """
@@ -104,14 +109,17 @@ def fit(bucket: np.ndarray, value: np.ndarray, before: np.ndarray, grade: np.nda
         g = np.concatenate([np.bincount(bucket, value * dz[own], minlength=len(names)) / n + decay * w, after[:1], after[1:] * steps])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        if faults:
+            p[: len(names)] = np.minimum(p[: len(names)], 0)
     weights = np.zeros(buckets)
     weights[names] = p[: len(names)] * scale[names]
     return weights, p[len(names)] + np.concatenate([[0], np.cumsum(np.exp(p[len(names) + 1 :]))])
 
 
-def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", most: int = 6000, buckets: int = 1 << 16, false_share: float = 0.005, seed: int = 13, most_grades: int = 100) -> Model | None:
+def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", most: int = 6000, buckets: int = 1 << 20, false_share: float = 0.005, seed: int = 13, most_grades: int = 100, stems: tuple[int, ...] = (4, 5), faults: bool = False) -> Model | None:
     """A model from about `most` rated documents, those with the smallest seeded hashes: a documented
-    bound. A fifth of them sets the cut, the others the weights.
+    bound. A fifth of them sets the cut, the others the weights. Where grades below the best one mean
+    faults, say so by `faults`.
 
     A document with several ratings has the lowest one; of an id with several texts one counts, the
     one with the smallest hash. Null ids, ratings and texts take no part. None if fewer than two
@@ -123,11 +131,11 @@ def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     with scratch(spark):
         rated = saved(rated.join(own_columns(docs, doc_id), F.col("_doc") == F.col(f"`{doc_id}`"), "left_semi"), "rated")
-        got, grades = _sampled(docs, rated, doc_id, text, most, buckets, seed, most_grades)
-    return _model(got, grades, buckets, false_share) if got is not None and len(got) else None
+        got, grades = _sampled(docs, rated, doc_id, text, most, buckets, seed, most_grades, stems)
+    return _model(got, grades, buckets, false_share, stems, faults) if got is not None and len(got) else None
 
 
-def _sampled(docs: DataFrame, rated: DataFrame, doc_id: str, text: str, most: int, buckets: int, seed: int, most_grades: int) -> tuple[pa.RecordBatch | None, list]:
+def _sampled(docs: DataFrame, rated: DataFrame, doc_id: str, text: str, most: int, buckets: int, seed: int, most_grades: int, stems: tuple[int, ...]) -> tuple[pa.RecordBatch | None, list]:
     """Features of the sample (h, y, apart, bucket, value), one row per document, and the grades."""
     grades = sorted(r[0] for r in rated.select("_grade").distinct().limit(most_grades + 1).collect())
     if len(grades) > most_grades:
@@ -143,7 +151,7 @@ def _sampled(docs: DataFrame, rated: DataFrame, doc_id: str, text: str, most: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, t in pieces(batch.column(0)):
-                bucket, value, before = features(t, buckets)
+                bucket, value, before = features(t, buckets, stems)
                 lists = [pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(x)) for x in (bucket.astype(np.int32), value.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in (1, 2, 3, 4)], *lists], names=["y", "apart", "h", "t", "bucket", "value"])
 
@@ -153,7 +161,7 @@ def _sampled(docs: DataFrame, rated: DataFrame, doc_id: str, text: str, most: in
     return one.select("h", "y", "apart", "x.bucket", "x.value").orderBy("h", "y").toArrow().combine_chunks(), grades
 
 
-def _model(got: pa.Table, grades: list, buckets: int, false_share: float) -> Model | None:
+def _model(got: pa.Table, grades: list, buckets: int, false_share: float, stems: tuple[int, ...], faults: bool) -> Model | None:
     y, apart = got.column("y").to_numpy(), got.column("apart").to_numpy()
     bucket, value = (np.concatenate([c.flatten().to_numpy() for c in got.column(n).chunks]) for n in ("bucket", "value"))
     before = np.concatenate([[0], np.cumsum(np.concatenate([c.value_lengths().to_numpy() for c in got.column("bucket").chunks]))])
@@ -165,12 +173,12 @@ def _model(got: pa.Table, grades: list, buckets: int, false_share: float) -> Mod
     learn = ~apart
     use = learn[of]
     counts = np.diff(before)[learn]
-    weights, thresholds = fit(bucket[use].astype(np.int64), value[use].astype(np.float64), np.concatenate([[0], np.cumsum(counts)]), y[learn], len(grades) - 1, buckets)
-    model = Model(weights, thresholds, 0.0)
+    weights, thresholds = fit(bucket[use].astype(np.int64), value[use].astype(np.float64), np.concatenate([[0], np.cumsum(counts)]), y[learn], len(grades) - 1, buckets, faults=faults)
+    model = Model(weights, thresholds, 0.0, stems)
     judged = apart if apart.any() else learn
     odd = 1 - model.tails(ngram_sums(weights[bucket] * value, before)[judged])[:, -1]
     cut = calibrate(odd, y[judged] == len(grades) - 1, false_share)
-    return Model(weights, thresholds, 1 - cut)
+    return Model(weights, thresholds, 1 - cut, stems)
 
 
 def grade(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -41,10 +41,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grades: 0 bad, 1 good but toxic, 2 good."""
+    """Grades: 0 bad, 1 good but toxic, 2 good; the lower two mean faults."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") > 0, 1).when(F.col("quality") > 0, 2).alias("grade"))
-    return ordinal.grade(docs, ordinal.train(docs, ratings))
+    return ordinal.grade(docs, ordinal.train(docs, ratings, faults=True))
 
 
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
