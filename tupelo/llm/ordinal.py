@@ -88,6 +88,12 @@ def fit(bucket: np.ndarray, value: np.ndarray, before: np.ndarray, grade: np.nda
     scale = evidence(bucket, own, grade, buckets, chance)
     value = value * scale[bucket]
     names, bucket = np.unique(bucket, return_inverse=True)
+    bucket, own, value = bucket.astype(np.int32), own.astype(np.int32), value.astype(np.float32)
+    # The same features bucket by bucket, for the sums of the other direction.
+    by = np.argsort(bucket, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=len(names)))])
+    own, value_by = own[by], value[by]
+    del by
     share = np.array([(grade < k).mean() for k in range(1, top + 1)])
     start = np.log((share * n + 1) / ((1 - share) * n + 1))
     p = np.concatenate([np.zeros(len(names)), start[:1], np.log(np.maximum(np.diff(start), 0.1))])
@@ -96,7 +102,7 @@ def fit(bucket: np.ndarray, value: np.ndarray, before: np.ndarray, grade: np.nda
     for step in range(1, rounds + 1):
         w, steps = p[: len(names)], np.exp(p[len(names) + 1 :])
         cuts = p[len(names)] + np.concatenate([[0], np.cumsum(steps)])
-        z = np.bincount(own, value * w[bucket], minlength=n)
+        z = ngram_sums(value * w.astype(np.float32)[bucket], before)
         below = np.concatenate([np.zeros((n, 1)), _logistic(cuts[None, :] - z[:, None]), np.ones((n, 1))], axis=1)
         slope = below * (1 - below)
         chance = np.maximum(below[rows, grade + 1] - below[rows, grade], 1e-12)
@@ -106,7 +112,7 @@ def fit(bucket: np.ndarray, value: np.ndarray, before: np.ndarray, grade: np.nda
         dcut[rows, grade] += slope[rows, grade] / chance
         per_cut = dcut[:, 1:-1].sum(0) / n
         after = np.cumsum(per_cut[::-1])[::-1]
-        g = np.concatenate([np.bincount(bucket, value * dz[own], minlength=len(names)) / n + decay * w, after[:1], after[1:] * steps])
+        g = np.concatenate([ngram_sums(value_by * dz.astype(np.float32)[own], first) / n + decay * w, after[:1], after[1:] * steps])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         if faults:
