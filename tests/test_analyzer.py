@@ -169,6 +169,25 @@ def test_nested_pairs_only_below_a_product_of_sizes(engine):
     assert "shuffle_replicate_nl" not in plan(joins.hinted(left, right, "nested", True, product=product - 1)).lower()
 
 
+def test_block_nested_broadcasts_only_what_is_small_in_memory(spark, tmp_path):
+    """A million rows of few different values: next to nothing in files, some 100 MB in a hash table."""
+    for name, n in (("L", 1_000_000), ("R", 1_000_000), ("S", 1_000)):
+        spark.range(n).selectExpr("id % 1000 AS k", "repeat('x', 20) AS v").write.parquet(f"{tmp_path}/{name}.parquet")
+    c = Catalog(spark).parquet_dir(str(tmp_path))
+    assert joins.known_size(c.table("R")) < joins.BROADCAST_BYTES < joins.held_size(c.table("R"))
+    assert joins.held_size(c.table("S")) == 1_000 * (joins.ROW_BYTES + 2 * 8 + 20)
+
+    def made(left, right):
+        df = Engine(spark, c).query(f"SELECT {left}.k,{right}.v FROM {left},{right} WHERE {left}.k={right}.k", {(left, right): "block_nested"})
+        return df, df._jdf.queryExecution().executedPlan().toString()
+
+    assert "SortMergeJoin" in made("L", "R")[1] and "Broadcast" not in made("L", "R")[1]
+    for pair, side in ((("L", "S"), "BuildRight"), (("S", "L"), "BuildLeft")):
+        df, plan = made(*pair)
+        assert f"Inner, {side}" in plan and "BroadcastHashJoin" in plan
+        assert df.count() == 1_000_000
+
+
 def test_printers(engine):
     schema = parse_det("T", "2\n8\na INTEGER 5 PK 4\nb STRING 5 NK 4\n").schema
     assert pretty(schema) == "T.a int\nT.b string"
