@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tupelo.llm import quality_rules as q
 from tupelo.llm.textvec import pieces
@@ -144,3 +145,56 @@ def test_forest_isolates_the_odd_one():
     assert f.score(np.array([[0.9, 0.02, 0.02]]))[0] > f.score(x).max()
     assert q.calibrate(np.array([0.1, 0.2, 0.9]), np.array([True, True, False]), 0.0) == 0.55
     assert q.calibrate(np.array([0.1, 0.2]), np.array([True, True]), 0.0) == float("inf")
+
+
+def test_drafts_cut_the_box_of_each_node():
+    d = q.draft(3, trees=4, height=5, seed=3)
+    for feature, cut in zip(d.feature, d.cut):
+        box = {0: (np.zeros(3), np.ones(3))}
+        for node, (f, at) in enumerate(zip(feature, cut)):
+            lo, hi = box[node]
+            assert lo[f] <= at <= hi[f]
+            under, over = hi.copy(), lo.copy()
+            under[f] = over[f] = at
+            box[2 * node + 1], box[2 * node + 2] = (lo, under), (over, hi)
+        x = np.random.default_rng(1).uniform(0, 1, (200, 3))
+        for row, leaf in zip(x, d.leaf(0, x)):
+            node = 0
+            while node < 31:
+                node = 2 * node + 1 + (row[d.feature[0][node]] > d.cut[0][node])
+            assert node - 31 == leaf
+
+
+def test_calibration_by_counts_is_that_of_the_rows():
+    rng = np.random.default_rng(4)
+    for share in (0.0, 0.05, 0.5):
+        score, good = rng.integers(0, 20, 400) / 20, rng.uniform(size=400) < 0.8
+        pairs, times = np.unique(np.stack([score, good]), axis=1, return_counts=True)
+        assert q.calibrate(score, good, share) == q.calibrate(pairs[0], pairs[1] > 0, share, times)
+
+
+def test_fit_counts_every_labelled_row(spark):
+    """Against all rows at once in numpy, whatever the partitions."""
+    _, docs, labels = frame(spark)
+    docs = docs.where("doc_id > 0")
+    stats = q.statistics(q._hashed(docs, "doc_id", "text"))
+    own = stats.where(~q.base_failed()).join(labels.dropna(), "doc_id").toPandas()
+    x, good = q.features(own), own["quality"].to_numpy() > 0
+    want = q.grow(x[good])
+    for given in (stats, stats.repartition(7)):
+        forest, cut = q.fit(given, labels)
+        for name in ("feature", "cut", "left", "path", "norm"):
+            assert np.array_equal(getattr(forest, name), getattr(want, name))
+        score = want.score(x)
+        assert (score[~good] > cut).all() and (score[good] <= cut).all()
+
+
+def test_bad_rows_count_however_many_are_labelled(spark):
+    """24,000 labels, of which the ten bad ones have the greatest hashes: a sample by hash would lack them."""
+    n = 24_000
+    last = [r.id for r in spark.range(n).orderBy(F.xxhash64("id", F.lit(7)).desc()).limit(10).collect()]
+    words = F.concat_ws(" ", *[F.concat(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(9999)).cast("string"), F.when(F.col("id").isin(last), "***").otherwise("")) for k in range(60)])
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), words.alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (~F.col("id").isin(last)).cast("int").alias("quality"))
+    assert {r.doc_id for r in q.assess(docs, labels).where("NOT kept").collect()} == set(last)
+    assert q.keep(docs, labels).count() == n - 10
